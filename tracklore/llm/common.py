@@ -35,3 +35,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Arrow batches to Python by bytes as well as rows, so that very long texts do not add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
