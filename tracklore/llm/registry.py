@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from tracklore.llm import exact_dedup
+from tracklore.llm import chat_format, exact_dedup, line_dedup, line_quality, mixing, sentence_pieces, simhash, toxicity
 
 QUERIES = {
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_line_quality": line_quality.op7_line_quality,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 ORACLE = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op7_line_quality": line_quality.OP7_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
 }
