@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracklore.llm import chat_format, exact_dedup, line_dedup, line_quality, mixing, sentence_pieces, simhash, toxicity
+from tracklore.llm import chat_format, exact_dedup, language_id, line_dedup, line_quality, mixing, pii, sentence_pieces, simhash, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_line_quality": line_quality.op7_line_quality,
     "op8_simhash": simhash.op8_simhash,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
