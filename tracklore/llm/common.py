@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklore.session import ready
+
 #: The white space of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,4 +41,4 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Arrow batches to Python by bytes as well as rows, so that very long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    ready(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
