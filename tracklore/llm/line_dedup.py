@@ -6,7 +6,8 @@ whose 64-bit hash occurs twice or more are compared byte by byte (grouped by the
 (id, place), are removed.
 
 Only hashes travel for chunks that occur once. Texts move twice, to meet the candidate list and the removal list of
-their document, and only candidate chunks are compared. Hot chunks are pre-aggregated per task and joined with salt.
+their document; only texts with candidates are cut again, and only candidate chunks are compared. Hashes are counted
+after partial aggregation and joined with salt; Spark splits skewed partitions of the joins on texts.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ from pyspark.sql import functions as F
 from tracklore.llm.common import frozen, salted_join, table
 
 EVERY = 3
+#: Two lines with a word: the first character of a word, the rest of its line, and another after that; in linear time.
+TWO_LINES = r"\A[\x20\x09-\x0D]*+[^\x20\x09-\x0D][^\n]*+\n[\x20\x09-\x0D]*+[^\x20\x09-\x0D]"
 
 
 def _chunked(df: DataFrame, text_col: str, every: int) -> DataFrame:
-    """Adds _chunks: the chunks of the text in order, joined by newlines they are the text."""
+    """Adds _chunks: the chunks of the text in order, joined by newlines they are the text.
+
+    No lambda refers to an array outside it, since such an array would be computed anew for each element. Each line gets
+    a flag in front, 1 if it begins a chunk; the flagged text is cut before the newlines that a 1 follows."""
     df = df.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     df = df.withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
-    # pairs of a line's hash and the one before it; the first line never ends a chunk, the last always does
-    prior = F.concat(F.array(F.lit(None).cast("long")), F.slice("_h", 1, F.size("_h") - 1))
-    df = df.withColumn("_roll", F.zip_with(prior, F.col("_h"), lambda a, b: F.coalesce((a * 31 + b) % every == 0, F.lit(False))))
-    df = df.withColumn("_ends", F.expr("filter(sequence(1, size(_h)), i -> i = size(_h) OR element_at(_roll, i))"))
-    df = df.withColumn("_starts", F.expr("concat(array(0), slice(_ends, 1, size(_ends) - 1))"))
-    df = df.withColumn("_chunks", F.expr("transform(arrays_zip(_starts, _ends), x -> array_join(slice(_lines, x._starts + 1, x._ends - x._starts), '\n'))"))
-    return df.drop("_lines", "_h", "_roll", "_ends", "_starts")
+    prior = F.concat(F.array(F.lit(None).cast("long")), F.slice("_h", F.lit(1), F.size("_h") - 1))
+    ends = F.zip_with(prior, "_h", lambda a, b: F.coalesce((a * 31 + b) % every == 0, F.lit(False)))
+    df = df.withColumn("_ends", ends)
+    starts = F.concat(F.array(F.lit(True)), F.slice("_ends", F.lit(1), F.size("_ends") - 1))
+    flagged = F.array_join(F.zip_with("_lines", starts, lambda x, s: F.concat(F.when(s, "1").otherwise("0"), x)), "\n")
+    chunks = F.transform(F.split(flagged, "\n(?=1)", -1), lambda c: F.substring(F.replace(c, F.lit("\n0"), F.lit("\n")), F.lit(2), F.length(c)))
+    return df.withColumn("_chunks", chunks).drop("_lines", "_h", "_ends")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY) -> DataFrame:
@@ -37,27 +43,26 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
 
     Null text stays null; empty text has no chunk to cut. A text all of whose chunks are cut becomes empty. Rows with a
     null id are neither cut nor counted. Rows with the same id and the same text count as one occurrence and are cut
-    alike. Other columns pass through; `_key` and names of this operator that start with an underscore are reserved.
+    alike. Other columns pass through; names that start with an underscore are reserved.
     """
     key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
-    chunked = _chunked(df.select(key.alias("_key"), F.col(text_col).alias("_t")).where("_key IS NOT NULL"), "_t", every)
-    several = F.expr(r"size(filter(split(c, '\n', -1), l -> l RLIKE '[^\\x20\\x09-\\x0D]')) >= 2")
-    places = chunked.select("_key", F.posexplode("_chunks").alias("k", "c")).where(several).select("_key", "k", F.xxhash64("c").alias("h")).distinct()
+    rows = df.select(key.alias("_key"), F.col(text_col).alias("_t")).where("_key IS NOT NULL")
+    hashes = F.transform("_chunks", lambda c: F.when(c.rlike(TWO_LINES), F.xxhash64(c)))
+    places = frozen(_chunked(rows, "_t", every).select("_key", hashes.alias("hs"))).select("_key", F.posexplode("hs").alias("k", "h")).where("h IS NOT NULL")
     twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    listed = salted_join(places, twice, ["h"], F.xxhash64("_key")).groupBy("_key").agg(F.collect_list("k").alias("_ks"))  # at most a text's own chunks
+    listed = salted_join(places, twice, ["h"], F.xxhash64("_key")).groupBy("_key").agg(F.collect_set("k").alias("_ks"))  # some of a text's own chunks
 
-    texts = df.select(key.alias("_key"), F.col(text_col).alias("_t")).join(listed, "_key")
-    chosen = _chunked(texts, "_t", every).select("_key", F.explode(F.transform("_ks", lambda k: F.struct(k.alias("k"), F.element_at(F.col("_chunks"), k + 1).alias("c")))).alias("s"))
-    chosen = chosen.select("_key", "s.k", "s.c").distinct()
-    at = F.struct(F.col("_key"), F.col("k"))
-    first = chosen.groupBy("c").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = frozen(chosen.join(first, "c").where(F.struct("_key", "k") != F.col("first")).groupBy("_key").agg(F.sort_array(F.collect_list("k")).alias("_cut")))
+    # only texts with a candidate are cut into chunks again
+    chosen = _chunked(rows.join(listed, "_key"), "_t", every).select("_key", "_ks", F.posexplode("_chunks").alias("k", "c")).where(F.array_contains("_ks", F.col("k"))).drop("_ks")
+    at = F.struct("_key", "k")
+    first = chosen.groupBy("c").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    cut = frozen(chosen.join(first, "c").where(F.struct("_key", "k") != F.col("first")).groupBy("_key").agg(F.sort_array(F.collect_set("k")).alias("_cut")))
 
     out = df.withColumn("_key", key).join(cut, "_key", "left")
-    out = _chunked(out, text_col, every)
-    left = F.expr("filter(_chunks, (c, i) -> NOT array_contains(_cut, i))")
+    out = _chunked(out.withColumn("_todo", F.when(F.col("_cut").isNotNull(), F.col(text_col))), "_todo", every)
+    left = F.filter("_chunks", lambda c, i: ~F.array_contains("_cut", i))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.coalesce(F.size("_cut"), F.lit(0)).alias("n_cut_chunks"))
+    return out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_chunks"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
