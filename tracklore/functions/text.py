@@ -6,6 +6,8 @@ know Unicode. Null in gives null out unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once, however often the body names it: expressions of this module nest, and would
+    otherwise be copied into each other."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def strip(x: Text) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+\z", "")
@@ -54,8 +62,7 @@ def strip(x: Text) -> Column:
 
 def lines_of(x: Text) -> Column:
     """Lines by all of Unicode's line ends, without an empty one after the last."""
-    parts = F.split(_c(x), LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(_c(x), LINE_ENDS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def repo_key(x: Text) -> Column:
@@ -73,13 +80,19 @@ def normalize_action(x: Text) -> Column:
 
 
 def one_line(x: Text, most: int = 80) -> Column:
-    a = normalize_action(x)
+    return let(normalize_action(x), lambda a: _ellipsis(a, most))
+
+
+def _ellipsis(a: Column, most: int) -> Column:
     return F.when(F.length(a) <= most, a).otherwise(F.concat(F.substring(a, 1, most - 3), F.lit("...")))
 
 
 def action_family(x: Text) -> Column:
     """Command word (two for the editor tool), distinct paths in order, numbers as #, and the tens of an edited range."""
-    a = normalize_action(x)
+    return let(normalize_action(x), _family)
+
+
+def _family(a: Column) -> Column:
     head = F.when(F.substring_index(a, " ", 1) == "str_replace_editor", F.substring_index(a, " ", 2)).otherwise(F.substring_index(a, " ", 1))
     paths = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(a, F.lit(PATH), F.lit(0)))), " ")
     base = F.regexp_replace(F.trim(F.concat(head, F.lit(" "), paths)), NUMBER, "#")
@@ -106,14 +119,20 @@ def parse_test_counts(x: Text) -> Column:
 def error_signature(x: Text) -> Column:
     """The line that names the error of an observation, numbers as #, 160 characters at most; null if there is none.
     The last line that starts like an exception, else the first with a strict marker; listings do not count."""
-    lines = F.filter(lines_of(x), lambda s: s.rlike(r"(?U)\S") & ~s.rlike(LISTING_LINE))
+    return let(F.filter(lines_of(x), lambda s: s.rlike(r"(?U)\S") & ~s.rlike(LISTING_LINE)), _signature)
+
+
+def _signature(lines: Column) -> Column:
     line = F.coalesce(F.try_element_at(F.filter(lines, lambda s: s.rlike(EXCEPTION_LINE)), F.lit(-1)), F.try_element_at(F.filter(lines, lambda s: s.rlike(STRICT_ERROR)), F.lit(1)))
     return F.substring(F.regexp_replace(strip(line), NUMBER, "#"), 1, 160)
 
 
 def preslice(x: Text, keep: int) -> Column:
     """Head and tail of a long text, with a note of the lines left out."""
-    x = _c(x)
+    return let(_c(x), lambda v: _sliced(v, keep))
+
+
+def _sliced(x: Column, keep: int) -> Column:
     gone = F.length(x) - 2 * keep
     middle = F.substring(x, F.lit(keep + 1), gone)
     note = F.concat(F.lit("\n... ["), (F.length(middle) - F.length(F.replace(middle, F.lit("\n"), F.lit("")))).cast("string"), F.lit(" lines omitted] ...\n"))
@@ -136,11 +155,14 @@ def clean_observation(x: Text) -> Column:
 
 def summarize_observation(x: Text, most: int = 100) -> Column:
     """Test summary, else first error line, else first line of an observation."""
-    t = clean_observation(preslice(collapse_padding(x), 4000))
+    return let(clean_observation(preslice(collapse_padding(x), 4000)), lambda t: _summary(t, most))
+
+
+def _summary(t: Column, most: int) -> Column:
     found = F.array_distinct(F.regexp_extract_all(t, F.lit(TEST_SUMMARY), F.lit(1)))
     line = strip(F.coalesce(F.nullif(F.regexp_extract(t, ERROR_LINE, 0), F.lit("")), F.try_element_at(lines_of(t), F.lit(1))))
-    line = F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 3), F.lit("...")))
-    return F.when(t == "", F.lit("(no output)")).when(F.size(found) > 0, F.substring(F.array_join(found, ", "), 1, most)).otherwise(line)
+    first = let(line, lambda s: _ellipsis(s, most))
+    return F.when(t == "", F.lit("(no output)")).otherwise(let(found, lambda f: F.when(F.size(f) > 0, F.substring(F.array_join(f, ", "), 1, most)).otherwise(first)))
 
 
 def token_count(x: Text) -> Column:
@@ -150,9 +172,11 @@ def token_count(x: Text) -> Column:
 
 def cap(x: Text, most: Column | int) -> Column:
     """The longest start of a text that has at most `most` tokens with an ellipsis, by the proxy's inverse."""
-    x = _c(x)
     most = F.lit(most) if isinstance(most, int) else most
-    cut = F.substring(x, F.lit(1), most * 8)
+    return let(F.substring(_c(x), F.lit(1), most * 8), lambda cut: _capped(cut, most))
+
+
+def _capped(cut: Column, most: Column) -> Column:
     room = F.floor(most * F.lit(3.5) + F.lit(0.0035)).cast("int") - 3
     short = F.concat(F.regexp_replace(F.substring(cut, F.lit(1), F.greatest(F.lit(0), room)), r"(?U)\s+\z", ""), F.lit("..."))
     return F.when(token_count(cut) <= most, cut).otherwise(short)
@@ -160,27 +184,33 @@ def cap(x: Text, most: Column | int) -> Column:
 
 def truncate_middle(x: Text, most: int, head_share: float = 0.6) -> Column:
     """Head and tail lines of a long text within a token budget, with a note of the lines between."""
-    t = preslice(x, most * 6)
-    lines = lines_of(t)
-    head_room = int(most * head_share)
-
-    def fitting(part: Column, room: int) -> Column:  # leading lines whose tokens, newline included, fit
-        start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on"))
-
-        def step(a: Column, s: Column) -> Column:
-            used = a["used"] + token_count(F.concat(s, F.lit("\n")))
-            on = a["on"] & (used <= room)
-            return F.struct(F.when(on, used).otherwise(a["used"]).alias("used"), F.when(on, a["n"] + 1).otherwise(a["n"]).alias("n"), on.alias("on"))
-
-        return F.aggregate(part, start, step)["n"]
-
-    h = fitting(lines, head_room)
-    rest = F.slice(lines, h + 1, F.size(lines))
-    k = fitting(F.reverse(rest), most - head_room)
-    gone = F.size(rest) - k
-    note = F.concat(F.lit("... ["), gone.cast("string"), F.lit(" lines omitted] ..."))
-    cut = F.array_join(F.concat(F.slice(lines, F.lit(1), h), F.array(note), F.slice(rest, gone + 1, k)), "\n")
-    return F.when((token_count(t) <= most) | (gone <= 0), t).otherwise(cut)
+    return let(preslice(x, most * 6), lambda t: F.when(token_count(t) <= most, t).otherwise(let(lines_of(t), lambda lines: _middle_cut(t, lines, most, int(most * head_share)))))
+
+
+def _fitting(part: Column, room: int) -> Column:
+    """How many leading lines fit, newlines included."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(a: Column, s: Column) -> Column:
+        cost = token_count(F.concat(s, F.lit("\n")))
+        fits = a["on"] & (a["used"] + cost <= room)
+        return F.struct(F.when(fits, a["used"] + cost).otherwise(a["used"]).alias("used"), F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), fits.alias("on"))
+
+    return F.aggregate(part, start, step)["n"]
+
+
+def _middle_cut(t: Column, lines: Column, most: int, head_room: int) -> Column:
+    def with_head(h: Column) -> Column:
+        rest = F.slice(lines, h + 1, F.size(lines))
+
+        def with_tail(k: Column) -> Column:
+            gone = F.size(lines) - h - k
+            note = F.concat(F.lit("... ["), gone.cast("string"), F.lit(" lines omitted] ..."))
+            return F.when(gone <= 0, t).otherwise(F.array_join(F.concat(F.slice(lines, F.lit(1), h), F.array(note), F.slice(lines, h + gone + 1, k)), "\n"))
+
+        return let(_fitting(F.reverse(rest), most - head_room), with_tail)
+
+    return let(_fitting(lines, head_room), with_head)
 
 
 def join_parts(*parts: Text) -> Column:

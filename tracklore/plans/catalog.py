@@ -72,7 +72,7 @@ def prefix_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alternating_convert", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
 k AS (SELECT conv_id, CASE WHEN len(r) = 2 AND r[1] = 'system' AND r[2] = 'user' THEN 'empty' WHEN len(r) < 3 OR r[1] <> 'system' OR r[2] <> 'user' THEN 'unexpected message prefix'
- WHEN len(list_filter(range(3, len(r) + 1), i -> r[i] <> CASE WHEN i % 2 = 1 THEN 'assistant' ELSE 'user' END)) > 0 THEN 'roles do not alternate' END AS skip_reason, len(r) AS n FROM c)
+ WHEN len(list_filter(range(3, len(r) + 1), lambda i: r[i] <> CASE WHEN i % 2 = 1 THEN 'assistant' ELSE 'user' END)) > 0 THEN 'roles do not alternate' END AS skip_reason, len(r) AS n FROM c)
 SELECT conv_id, skip_reason, CAST(CASE WHEN skip_reason IS NULL THEN (n - 1) // 2 END AS INTEGER) AS n_steps FROM k""")
 def alternating_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "conversations")
@@ -320,9 +320,9 @@ EV = f"""WITH st AS ({ES}), s AS (SELECT run, i, action AS norm, observation AS
 acts AS (SELECT run, L, norm, count(*) AS n, min(j) AS f, bool_or(edit) AS edit FROM p GROUP BY ALL), topa AS (SELECT * FROM acts QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY n DESC, f) = 1),
 ae AS (SELECT p.run, p.L, p.norm, p.err, count(*) AS n FROM p WHERE err IS NOT NULL GROUP BY ALL), aem AS (SELECT run, L, norm, max(n) AS n FROM ae GROUP BY ALL),
 r1 AS (SELECT t.run, t.L, 'same action x' || t.n || ': ' || substr(t.norm, 1, 60) AS r FROM topa t LEFT JOIN aem USING (run, L, norm) WHERE t.n >= 3 AND t.norm NOT LIKE 'open%' AND (t.edit OR coalesce(aem.n, 0) >= 2)),
-errs AS (SELECT run, L, err, count(*) AS n, min(j) AS f FROM p WHERE err IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1),
+errs AS (SELECT run, L, err, count(*) AS n, min(j) AS f FROM p WHERE err IS NOT NULL GROUP BY run, L, err QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1),
 r2 AS (SELECT run, L, 'same error x' || n || ': ' || err AS r FROM errs WHERE n >= 3),
-cyc AS (SELECT run, L, fam, count(*) AS n, min(j) AS f FROM p WHERE edit AND bad GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1),
+cyc AS (SELECT run, L, fam, count(*) AS n, min(j) AS f FROM p WHERE edit AND bad GROUP BY run, L, fam QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1),
 r3 AS (SELECT run, L, 'edit cycle x' || n || ': ' || fam AS r FROM cyc WHERE n >= 3)
 SELECT s.run, CAST(s.i AS INTEGER) AS prefix_len, concat_ws('; ', r1.r, r2.r, r3.r) AS reasons FROM s LEFT JOIN r1 ON r1.run = s.run AND r1.L = s.i LEFT JOIN r2 ON r2.run = s.run AND r2.L = s.i LEFT JOIN r3 ON r3.run = s.run AND r3.L = s.i""")
 def stuck_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +424,7 @@ def gbt_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ metrics
 
 AUC = "(SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) FROM (SELECT toxic AS y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM d))"
-BINS = "least(14, len(list_filter(range(0, 16), e -> e / 15.0::DOUBLE <= p)) - 1)"
+BINS = "least(14, len(list_filter(range(0, 16), lambda e: e / 15.0::DOUBLE <= p)) - 1)"
 
 
 @query("binary_report", f"""WITH d AS ({SD}), e AS (SELECT {BINS} AS b, count(*) AS n, abs(avg(p) - avg(toxic)) AS gap FROM d GROUP BY 1)
@@ -610,7 +610,7 @@ def best_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("task_id", "runs", "model", "shortest", r6("random", "random"), "oracle", r6("best_policy", "best_policy"))
 
 
-@query("pick_slices", PICK + ", sl AS (SELECT *, unnest(list_filter(['all', CASE WHEN oracle > 0 AND worst < 1 THEN 'mixed' END, CASE WHEN policies = 1 THEN 'same_policy' END, CASE WHEN policies > 1 THEN 'multi_policy' END], s -> s IS NOT NULL)) AS slice FROM pk) SELECT slice, count(*) AS groups, CAST(sum(runs) AS BIGINT) AS runs, round(avg(model), 6) AS model, round(avg(shortest), 6) AS shortest, round(avg(random), 6) AS random, round(avg(oracle), 6) AS oracle, round(avg(best_policy), 6) AS best_policy, round(avg(model - random), 6) AS lift, round(avg(model - best_policy), 6) AS lift_vs_best_policy FROM sl GROUP BY slice")
+@query("pick_slices", PICK + ", sl AS (SELECT *, unnest(list_filter(['all', CASE WHEN oracle > 0 AND worst < 1 THEN 'mixed' END, CASE WHEN policies = 1 THEN 'same_policy' END, CASE WHEN policies > 1 THEN 'multi_policy' END], lambda s: s IS NOT NULL)) AS slice FROM pk) SELECT slice, count(*) AS groups, CAST(sum(runs) AS BIGINT) AS runs, round(avg(model), 6) AS model, round(avg(shortest), 6) AS shortest, round(avg(random), 6) AS random, round(avg(oracle), 6) AS oracle, round(avg(best_policy), 6) AS best_policy, round(avg(model - random), 6) AS lift, round(avg(model - best_policy), 6) AS lift_vs_best_policy FROM sl GROUP BY slice")
 def pick_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = simulate.pick_slices(simulate.picks(simulate.latest_scores(_points(spark, sf_dir))))
     return r.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes])
