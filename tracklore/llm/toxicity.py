@@ -164,12 +164,17 @@ class Model:
     terms: list[str]
     weights: list[float]
     strict: frozenset[int]
-    beta: list[float]  # bias, abusive exact, abusive misspelt, quoted
+    beta: list[float]  # bias, abusive, what misspelt hits add to or take from that, quoted
 
     def features(self, hits: list[tuple[int, int, bool]]) -> list[float]:
         x = [0.0, 0.0, 0.0]
         for term, edits, quoted in hits:
-            x[2 if quoted else 1 if edits else 0] += self.weights[term]
+            w = self.weights[term] * (MISSPELT if edits else 1.0)
+            if quoted:
+                x[2] += w
+            else:
+                x[0] += w
+                x[1] += w * bool(edits)
         return [1.0, *np.log1p(x)]
 
     def score(self, hits: list[tuple[int, int, bool]]) -> float:
@@ -177,7 +182,9 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-PRIOR_MEAN, PRIOR_VAR = np.array([-3.0, 2.0, 1.6, 0.3]), np.array([9.0, 4.0, 0.25, 0.1])
+#: Share of a term's weight that a hit with an edit has.
+MISSPELT = 0.7
+PRIOR_MEAN, PRIOR_VAR = np.array([-3.0, 2.0, 0.0, 0.3]), np.array([9.0, 4.0, 0.1, 0.1])
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
