@@ -26,7 +26,7 @@ from tracklore.llm.common import table
 
 #: Sources in a mix; weights are a configuration, so their number has a fixed bound.
 MOST_SOURCES = 100_000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def parts_of(weights: dict[str, float], frame: int) -> dict[str, int]:
