@@ -75,11 +75,6 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words:
     return rows.mapInArrow(scan, "rid long, id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _node(words: int, prefix: str = "w") -> Column:
-    """A fingerprint as one value: a long, or hex digits for several words."""
-    return F.col(prefix + "0") if words == 1 else F.concat(*[F.lpad(F.hex(f"{prefix}{i}"), 16, "0") for i in range(words)])
-
-
 def _unite(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining nodes a[i] and b[i]; a label is the smallest node of its set."""
     while True:
@@ -96,11 +91,11 @@ def _unite(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             lab = up
 
 
-def _links(held: np.ndarray, asked: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of a run that differ in at most max_bits bits."""
+def _links(held: np.ndarray, asked: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a run that differ in at most max_bits bits, as pairs of different nodes."""
     rows = np.concatenate((held, asked))
     _, first, at = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 8 * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    nodes = rows[first]
+    nodes = node[first]
     at_held, at_asked = at[: len(held)], at[len(held) :]
     lab = np.arange(len(nodes))
     step = max(1, (1 << 20) // len(held))
@@ -108,7 +103,7 @@ def _links(held: np.ndarray, asked: np.ndarray, max_bits: int) -> tuple[np.ndarr
         far = sum(np.bitwise_count(asked[k : k + step, None, w] ^ held[None, :, w]).astype(np.int16) for w in range(rows.shape[1]))
         q, t = np.nonzero(far <= max_bits)
         lab = _unite(lab, at_asked[k + q], at_held[t])
-    x = np.flatnonzero(lab != np.arange(len(nodes)))
+    x = np.flatnonzero(nodes != nodes[lab])
     return nodes[x], nodes[lab[x]]
 
 
@@ -120,10 +115,11 @@ def _segment_keys(word: str, lo: int, hi: int, tag: int) -> tuple[Column, Column
     return value.bitwiseOR(F.lit(tag)), F.transform(clear, lambda m: value.bitwiseOR(m).bitwiseOR(F.lit(tag)))
 
 
-def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block: int = 4096) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints, of which the links within max_bits that the search finds are the
-    closure. `segments` per word. Complete for max_bits < 2 * segments * words; pairs further apart are found if some
-    segment differs in one bit at most, so those need a measured recall. fps: distinct w0, w1, ..."""
+def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, radius: int, block: int = 4096) -> DataFrame:
+    """Edges (u, v) between the nodes of fingerprints, of which the links within max_bits that the search finds are the
+    closure. `segments` per word. With radius 1 complete for max_bits < 2 * segments * words; pairs further apart are
+    found if some segment differs in one bit at most, so those need a measured recall. Radius 0 only looks up equal
+    segments, radius 1 only those that differ in a bit: the first comes before the second. fps: distinct w0, w1, ... and the node of each; links inside a node are not returned."""
     cuts = [BITS * i // segments for i in range(segments + 1)]
     names = [f"w{i}" for i in range(words)]
     table_keys, ball_keys = [], []
@@ -132,8 +128,9 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
             key, ball = _segment_keys(names[w], lo, hi, (w * segments + i) << 40)
             table_keys.append(key)
             ball_keys.append(ball)
+    names = [*names, "node"]
     held = fps.select(F.explode(F.array(*table_keys)).alias("key"), F.lit(0).alias("side"), *names)
-    asked = fps.select(F.explode(F.concat(F.array(*table_keys), *ball_keys)).alias("key"), F.lit(1).alias("side"), *names)
+    asked = fps.select(F.explode(F.concat(*ball_keys) if radius else F.array(*table_keys)).alias("key"), F.lit(1).alias("side"), *names)
     rows = held.unionByName(asked)
 
     sizes = rows.groupBy("key").agg(F.sum(1 - F.col("side")).alias("t"), F.sum("side").alias("q")).where(F.col("t") > 0)
@@ -147,7 +144,7 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
             F.transform(F.sequence(F.lit(0), F.col("tp") - 1), lambda i: i.cast("long") * F.col("qp") + F.pmod(h, "qp"))))).select("key", "side", *names, "part")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def emit(key: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             us, vs = [], []
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
             stop = np.append(edge[1:], len(fp))
@@ -160,17 +157,17 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
                 n = tt * qq
                 run = np.repeat(np.arange(len(e)), n)
                 off = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                a, b = fp[e[run] + off % tt[run]], fp[e[run] + tt[run] + off // tt[run]]
-                far = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
-                ok = (far > 0) & (far <= max_bits)
-                us.append(a[ok])
-                vs.append(b[ok])
+                a, b = e[run] + off % tt[run], e[run] + tt[run] + off // tt[run]
+                ok = (node[a] != node[b]) & (np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int16) <= max_bits)
+                us.append(node[a[ok]])
+                vs.append(node[b[ok]])
             for i in np.flatnonzero((t > 0) & (q > 0) & ~small):
-                u, v = _links(fp[edge[i] : edge[i] + t[i]], fp[edge[i] + t[i] : stop[i]], max_bits)
+                u, v = _links(fp[edge[i] : edge[i] + t[i]], fp[edge[i] + t[i] : stop[i]], node[edge[i] : stop[i]], max_bits)
                 us.append(u)
                 vs.append(v)
-            cols = [np.ascontiguousarray(np.concatenate(x) if x else np.empty((0, words), np.uint64)).view(np.int64) for x in (us, vs)]
-            return pa.RecordBatch.from_arrays([pa.array(c[:, i]) for c in cols for i in range(words)], [f"{x}{i}" for x in "uv" for i in range(words)])
+            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         kept: list[tuple[np.ndarray, ...]] = []
         for b in batches:
@@ -179,18 +176,18 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
                 continue
             side = b.column(2).to_numpy().astype(np.int64)
             fp = np.stack([b.column(3 + i).to_numpy() for i in range(words)], axis=1).view(np.uint64)
+            node = b.column(3 + words).to_numpy()
             last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                whole = [*kept, (key[:last], side[:last], fp[:last])]
+                whole = [*kept, (key[:last], side[:last], fp[:last], node[:last])]
                 yield emit(*(np.concatenate(x) for x in zip(*whole)))
                 kept = []
-            kept.append((key[last:], side[last:], fp[last:]))
+            kept.append((key[last:], side[last:], fp[last:], node[last:]))
         if kept:
             yield emit(*(np.concatenate(x) for x in zip(*kept)))
 
     dealt = rows.select("key", "part", "side", *names).repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    found = dealt.mapInArrow(runs, ", ".join(f"{x}{i} long" for x in "uv" for i in range(words)))
-    return found.select(_node(words, "u").alias("u"), _node(words, "v").alias("v")).distinct()
+    return dealt.mapInArrow(runs, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,11 +196,11 @@ def components(edges: DataFrame) -> DataFrame:
         if large:
             near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            out = salted_join(near.where("v > u"), low, ["u"], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            out = salted_join(near.where("v > u"), low, ["u"], F.xxhash64("v"), n=4).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # u > v on every edge now
             low = e.groupBy("u").agg(F.min("v").alias("m"))
             own = low.select("u", F.col("m").alias("v"))
-            out = salted_join(e, low, ["u"], F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+            out = salted_join(e, low, ["u"], F.xxhash64("v"), n=4).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
         return out.where("u <> v").distinct()
 
     cur = frozen(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -226,11 +223,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     names = [f"w{i}" for i in range(words)]
     rows = frozen(fingerprints(df, id_col, text_col, shingle, words))
-    least = rows.groupBy(*names).agg(F.min("id").alias("least"))
-    member = components(near_links(least.select(*names), words, max_bits, segments))
-    root = least.withColumn("node", _node(words)).join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = frozen(rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("rid").alias("node")))
+    # equal segments link most of a dense group at once; what is left to the ball are links between its components
+    for radius in (0, 1):
+        member = components(near_links(least.select(*names, "node"), words, max_bits, segments, radius)).withColumnRenamed("node", "_n")
+        least = frozen(least.join(member, F.col("node") == F.col("_n"), "left").withColumn("node", F.coalesce("root", "node")).select(*names, "least", "node"))
+    root = least.withColumnRenamed("node", "root")
     best = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = salted_join(root, best, ["root"], F.xxhash64("node")).select(*names, "component_id")
+    named = salted_join(root, best, ["root"], F.xxhash64(*names)).select(*names, "component_id")
     out = salted_join(rows, named, names, F.col("rid"))
     digits = F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names]))
     return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
