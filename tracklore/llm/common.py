@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
+def set_aside(df: DataFrame, results: tuple[str, ...], keep: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with other names for columns that start with an underscore or are named like a result, whatever their case,
+    but for those in `keep`, and a function that gives them their names back. Without such columns both change nothing."""
+    own = {c: f"aside{i}" for i, c in enumerate(df.columns) if c not in keep and (c.startswith("_") or c.lower() in results)}
+    if not own:
+        return df, lambda out: out
+    return df.withColumnsRenamed(own), lambda out: out.withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

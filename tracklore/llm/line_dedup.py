@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import frozen, salted_join, table
+from tracklore.llm.common import frozen, salted_join, set_aside, table
 
 EVERY = 3
 #: Two lines with a word: the first character of a word, the rest of its line, and another after that; in linear time.
@@ -43,8 +43,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
 
     Null text stays null; empty text has no chunk to cut. A text all of whose chunks are cut becomes empty. Rows with a
     null id are neither cut nor counted. Rows with the same id and the same text count as one occurrence and are cut
-    alike. Other columns pass through; names that start with an underscore are reserved.
+    alike. Other columns pass through, whatever their names, but an input column n_cut_chunks gives way to the result.
     """
+    df, back = set_aside(df.drop("n_cut_chunks"), (), (id_col, text_col))
     key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
     rows = df.select(key.alias("_key"), F.col(text_col).alias("_t")).where("_key IS NOT NULL")
     hashes = F.transform("_chunks", lambda c: F.when(c.rlike(TWO_LINES), F.xxhash64(c)))
@@ -62,7 +63,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     out = _chunked(out.withColumn("_todo", F.when(F.col("_cut").isNotNull(), F.col(text_col))), "_todo", every)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains("_cut", i))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_chunks"))
+    return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_chunks")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +72,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated chunks; a document that was wholly a repetition of earlier ones goes."""
+    docs, back = set_aside(docs, ("n_cut_chunks",))
     out = line_dedup(docs)
-    return out.where((F.col("n_cut_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return back(out.where((F.col("n_cut_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns))
 
 
 OP5_SQL = r"""

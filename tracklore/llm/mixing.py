@@ -22,11 +22,12 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import table
+from tracklore.llm.common import set_aside, table
 
 #: Sources in a mix; weights are a configuration, so their number has a fixed bound.
 MOST_SOURCES = 100_000
 BUCKET_ROWS = 2_000
+RESULTS = ("slot", "place", "epoch")
 
 
 def parts_of(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -72,15 +73,17 @@ def mix(
 
     Without `weights`, sizes to the power 0.7. Weights must be positive; a source without one raises ValueError, a
     weight without rows is ignored. A null source is a source named ''. Rows with equal or null ids keep a defined place
-    up to exchanges among rows that are equal in hash and id. An empty table gives an empty result.
+    up to exchanges among rows that are equal in hash and id. An empty table gives an empty result. Other columns
+    pass through, whatever their names, but input columns slot, place and epoch give way to the results.
     """
+    df, back = set_aside(df.drop(*RESULTS), (), (id_col, source_col))
     spark = df.sparkSession
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     sizes = {r["s"]: r["n"] for r in df.groupBy(src.alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not sizes:
-        return df.withColumns({"slot": F.lit(0).cast("long"), "place": F.lit(0), "epoch": F.lit(0)})
+        return back(df).withColumns({"slot": F.lit(0).cast("long"), "place": F.lit(0), "epoch": F.lit(0)})
     weights = default_weights(sizes) if weights is None else weights
     if lost := [s for s in sizes if not weights.get(s, 0) > 0]:
         raise ValueError(f"no weight for {lost[:5]}")
@@ -107,7 +110,7 @@ def mix(
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), times)))
     rows = rows.withColumn("_turn", F.col("_block") + F.col("epoch") * F.col("_blocks")).withColumn("_i", F.expr("_turn % _parts"))
     rows = rows.join(F.broadcast(by_slot), ["_s", "_i"]).withColumn("slot", F.expr(f"(_turn div _parts) * {len(slots)} + _slot"))
-    return rows.select(*df.columns, "slot", "place", "epoch")
+    return back(rows.select(*df.columns, *RESULTS))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +119,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, over the files and within each; a source below its weight comes again."""
+    docs, back = set_aside(docs, RESULTS)
     mixed = mix(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "slot").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return back(mixed.repartitionByRange(n, "slot").sortWithinPartitions("slot", "place").select(*docs.columns))

@@ -164,9 +164,11 @@ def encode_column(df: DataFrame, text_col: str = "text", model: str = MODEL, che
     """`df` plus token_ids array<int>, n_tokens int and, with `check`, round_trip boolean (decoding gives the text back).
 
     Null text gives null ids, null count and null round_trip; empty text gives no ids. The model file is read once in
-    each Python worker from a path that all executors have. Other columns pass through.
+    each Python worker from a path that all executors have. Other columns pass through, but
+    input columns named like a result give way to it.
     """
     bounded_batches(df.sparkSession, 4)
+    df = df.drop("token_ids", "n_tokens", *["round_trip"] * check)
     names = df.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,8 @@ def encode_column(df: DataFrame, text_col: str = "text", model: str = MODEL, che
 
 
 def decode_column(df: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
-    """`df` plus decoded string; null ids give null."""
+    """`df` plus decoded string; null ids give null. An input column decoded gives way to the result."""
+    df = df.drop("decoded")
     names = df.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
