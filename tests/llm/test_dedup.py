@@ -54,6 +54,24 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_passages_are_cut_whole(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    lines = lambda n, k: [line(k) for _ in range(n)]
+    long, short, one, few = lines(9, 12), lines(2, 20), lines(1, 60), lines(5, 11)
+    texts, owns = [], []
+    for i in range(6):
+        own = lines(4, 7)
+        texts.append("\n".join([own[0], *long[: 9 - i % 3], own[1], *one, own[2], *few, "", own[3]]))
+        owns.append("\n".join([own[0], own[1], own[2], "", own[3]]))
+    texts += ["\n".join([*short]), one[0], "\n".join(long[3:8]), "", None, "\n\n"]
+    out = {r.doc_id: r for r in line_dedup.passage_dedup(docs(spark, texts)).collect()}
+    assert out[0].text == texts[0] and out[0].n_cut_passages == 0
+    assert [out[i].text for i in range(1, 6)] == owns[1:] and all(out[i].n_cut_passages == 3 for i in range(1, 6))
+    assert [out[i].text for i in range(6, 12)] == ["\n".join(short), "", "", "", None, "\n\n"]
+    assert {r.doc_id for r in line_dedup.stage(spark, docs(spark, texts), "").collect()} == set(range(12)) - {7, 8}
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(5)
     for _ in range(300):

@@ -8,16 +8,21 @@ whose 64-bit hash occurs twice or more are compared byte by byte (grouped by the
 Only hashes travel for chunks that occur once. Texts move twice, to meet the candidate list and the removal list of
 their document; only texts with candidates are cut again, and only candidate chunks are compared. Hashes are counted
 after partial aggregation and joined with salt; Spark splits skewed partitions of the joins on texts.
+
+The pipeline's stage goes further than the query, whose rule its SQL fixes: see `passage_dedup`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklore.llm.common import frozen, salted_join, set_aside, table
 
 EVERY = 3
+#: The pipeline cuts every repeated run of lines with over 50 words.
+PASSAGE_WORDS = 51
+PLACE = 1 << 31
 #: Two lines with a word: the first character of a word, the rest of its line, and another after that; in linear time.
 TWO_LINES = r"\A[\x20\x09-\x0D]*+[^\x20\x09-\x0D][^\n]*+\n[\x20\x09-\x0D]*+[^\x20\x09-\x0D]"
 
@@ -70,11 +75,78 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def _units(every: int, words: int) -> Column:
+    """Codes of the units of _l, the lines with a word: content-defined chunks of two lines or more, and for each line the
+    least windows that begin or end with it and have `words` words. A code is the place of the first line and the number
+    of lines. Lambdas refer to no array but the stored _l."""
+    n = F.size("_l")
+    places = F.sequence(F.lit(1), n)
+    code = lambda lo, k: lo.cast("long") * PLACE + k
+
+    def window(lines: Column) -> Column:
+        start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+        more = lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n")))
+        return F.aggregate(lines, start, more, lambda a: F.when(a["w"] >= words, a["n"]))
+
+    def low(i: Column) -> Column:
+        return F.element_at("_l", i)["h"].bitwiseAND(F.lit((1 << 28) - 1))
+
+    ahead = F.transform(places, lambda i: code(i, window(F.slice("_l", i, F.lit(words)))))
+    behind = F.transform(places, lambda i: F.transform(F.array(window(F.reverse(F.slice("_l", F.greatest(F.lit(1), i - words + 1), F.least(i, F.lit(words)))))), lambda k: code(i - k + 1, k))[0])
+    ends = F.filter(places, lambda i: F.when(i == F.size("_l"), True).when(i == 1, False).otherwise((low(i - 1) * 31 + low(i)) % every == 0))
+    chunks = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1)), ends, lambda a, b: F.when(b - a >= 2, code(a + 1, b - a)))
+    return F.filter(F.array_union(F.array_union(ahead, behind), chunks), lambda u: u.isNotNull())
+
+
+def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, words: int = PASSAGE_WORDS) -> DataFrame:
+    """`df` with repeated passages cut out of `<text_col>`, plus n_cut_passages (int), the runs of lines cut.
+
+    Lines without a word are left out of the comparison and go with the lines around them. Besides chunks of two lines or
+    more, every run of whole lines with `words` words or more that stood before, by (id, place), is cut from its first to
+    its last line, wherever chunk boundaries fall: the least windows of `words` words that begin or end with each line
+    cover it. A line goes only if an equal one stood before, so the first copy of each stays. Units are the same if two
+    64-bit hashes made of two hashes of each line agree. Nulls, repeated rows and other columns as in line_dedup.
+    """
+    df, back = set_aside(df.drop("n_cut_passages"), (), (id_col, text_col))
+    key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
+    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")).alias("w"))
+    rows = df.select(key.alias("_key"), F.split(text_col, "\n", -1).alias("_s")).where("_key IS NOT NULL")
+    docs = frozen(rows.select("_key", F.filter(F.transform("_s", line), lambda x: x["w"] > 0).alias("_l"))).where(F.size("_l") > 0)
+
+    def unit(u: Column) -> Column:
+        lo, n = F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int")
+        at = lambda i: F.element_at("_l", i)["i"].cast("long")
+        return F.struct(
+            (at(lo) * PLACE + at(lo + n - 1)).alias("u"), F.xxhash64(F.transform(F.slice("_l", lo, n), lambda x: x["h"])).alias("a"), F.xxhash64(F.transform(F.slice("_l", lo, n), lambda x: x["g"])).alias("b")
+        )
+
+    places = frozen(docs.select("_key", F.transform(_units(every, words), unit).alias("us"))).select("_key", F.explode("us").alias("_u")).select("_key", "_u.*")
+    twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    chosen = frozen(salted_join(places, twice, ["a"], F.xxhash64("_key")))
+    at = F.struct("_key", "u")
+    first = chosen.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    later = salted_join(chosen, first, ["a", "b"], F.xxhash64("_key"), n=4).where(F.struct("_key", "u") != F.col("first"))
+
+    def merge(a: Column, u: Column) -> Column:
+        last = F.element_at(a, -1)
+        longer = F.shiftright(last, 31) * PLACE + F.greatest(last % PLACE, u % PLACE)
+        joins = (F.size(a) > 0) & (F.shiftright(u, 31) <= F.try_element_at(a, F.lit(-1)) % PLACE + 1)
+        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(u)))
+
+    units = later.groupBy("_key").agg(F.sort_array(F.collect_set("u")).alias("us"))
+    cut = frozen(units.select("_key", F.aggregate("us", F.array().cast("array<bigint>"), merge).alias("_cut")))
+    out = df.withColumn("_key", key).join(cut, "_key", "left")
+    todo = F.split(F.when(F.col("_cut").isNotNull(), F.col(text_col)), "\n", -1)
+    left = F.filter(todo, lambda x, i: ~F.exists("_cut", lambda u: (i >= F.shiftright(u, 31)) & (i <= u % PLACE)))
+    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_passages")))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks; a document that was wholly a repetition of earlier ones goes."""
-    docs, back = set_aside(docs, ("n_cut_chunks",))
-    out = line_dedup(docs)
-    return back(out.where((F.col("n_cut_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns))
+    """Texts without repeated passages; a document that was wholly a repetition of earlier ones goes."""
+    docs, back = set_aside(docs, ("n_cut_passages",))
+    out = passage_dedup(docs)
+    return back(out.where((F.col("n_cut_passages") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns))
 
 
 OP5_SQL = r"""
