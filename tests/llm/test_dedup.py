@@ -92,6 +92,17 @@ def test_line_quality_removes_boilerplate(spark):
     assert line_quality.line_quality(docs(spark, [])).count() == 0
 
 
+def test_boilerplate_lines_leave_the_texts(spark):
+    board = "Subscribe to our  letter now"
+    texts = [f"{board}\n" + " ".join(f"u{i}{k}" for k in range(40)) + f"\n\n {board.lower()} \nend {i}" for i in range(60)] + [f"{board}\nonly {i}" for i in range(60, 70)]
+    d = docs(spark, texts)
+    got = {r.doc_id: r.text for r in line_quality.stage(spark, d, "").collect()}
+    left = {r.doc_id: r.n_left_words for r in line_quality.line_quality(d).where("kept").collect()}
+    assert got[0] == texts[0] and got[1] == texts[1]  # the first documents of the two hosts
+    assert [got[i] for i in range(2, 60)] == ["\n".join(t.split("\n")[k] for k in (1, 2, 4)) for t in texts[2:60]]
+    assert {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in got.items()} == left and len(got) == 60
+
+
 def brute_fingerprint(text, n):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))] if w else []

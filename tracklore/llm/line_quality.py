@@ -3,7 +3,7 @@
 Lines are normalised (words lower-cased, single spaces) and hashed together with their host. Per host, the number of
 documents that hold a line is counted; a line in more than max(min_docs, share of the host's documents) is boilerplate
 and is removed everywhere but in the host's first document that has it (smallest id). A document is rejected if the base
-rules fail or if too few of its words are left.
+rules fail or if too few of its words are left. `line_quality` gives the figures, `clean_documents` the texts.
 
 One Python pass over the texts gives features and line hashes, frozen once; the counts shuffle (hash, 1) pairs after
 partial aggregation, so a hot host or line costs one row per map task.
@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tracklore.llm.common import BLANK, WORD, bounded_batches, frozen, salted_join, table
+from tracklore.llm.common import BLANK, WORD, bounded_batches, frozen, salted_join, set_aside, table
 
 _WORD = re.compile(WORD)
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -28,6 +29,10 @@ FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 BROADCAST_LINES = 200_000
 
 
+def line_key(host: str | None, words: list[str]) -> int:
+    return xxhash.xxh64_intdigest((host or "") + "\0" + " ".join(words).lower()) - (1 << 63)
+
+
 def features(text: str | None, host: str | None) -> tuple[list[int], list[int], list[int]]:
     """Base figures of a text; hashes of its distinct lines with a word; words in all occurrences of each."""
     text = text or ""
@@ -43,8 +48,7 @@ def features(text: str | None, host: str | None) -> tuple[list[int], list[int],
             words += own
             slot = lines.setdefault(" ".join(own).lower(), [0])
             slot[0] += len(own)
-    key = (host or "") + "\0"
-    hashes = [xxhash.xxh64_intdigest(key + x) - (1 << 63) for x in lines]
+    hashes = [line_key(host, [x]) for x in lines]
     figures = [len(words), sum(map(len, words)), len(_SYMBOL.findall(text)), dup, repeated_words(words)]
     return figures, hashes, [x[0] for x in lines.values()]
 
@@ -67,30 +71,41 @@ def repeated_words(words: list[str], n: int = 5) -> int:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rid, ids, texts, hosts = b.columns
+        rid, ids, marks, texts, hosts = b.columns
         out = [features(t, h) for t, h in zip(texts.to_pylist(), hosts.to_pylist())]
         cols = list(zip(*(x[0] for x in out))) if out else [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [rid, ids, pa.array([xxhash.xxh64_intdigest(h or "") - (1 << 63) for h in hosts.to_pylist()], pa.int64())]
+            [rid, ids, marks, pa.array([xxhash.xxh64_intdigest(h or "") - (1 << 63) for h in hosts.to_pylist()], pa.int64())]
             + [pa.array(c, pa.int64()) for c in cols]
             + [pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int32()))],
-            ["rid", "id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "counts"],
+            ["rid", "id", "mark", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "keys", "counts"],
         )
 
 
-def line_quality(
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, hosts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Texts without the lines whose keys are in `cuts`; null where that is null."""
+    out = []
+    for text, host, cut in zip(texts.to_pylist(), hosts.to_pylist(), cuts.to_pylist()):
+        keys = set(cut or ())
+        out.append(None if text is None else "\n".join(x for x in text.split("\n") if not ((own := _WORD.findall(x)) and line_key(host, own) in keys)))
+    return pa.array(out, pa.string())
+
+
+def _mark(text_col: str, host_col: str) -> Column:
+    """Hash of what, beside the id, the verdict on a row depends on."""
+    host = F.col(host_col).cast("string")
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col), host.isNull(), host)
+
+
+def _judged(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_docs: int = 20, share: float = 0.01, least_words: int = 10, left_words: int = 10, left_share: float = 0.3,
 ) -> DataFrame:
-    """One row per input row: `<id_col>`, the base figures, base_failed, n_left_words, kept.
-
-    Null text has no words, fails the base rules and is not kept, as does an empty one; a null host is one host of its
-    own. Rows with a null id count as documents but never own a boilerplate line. Repeated rows count as documents each.
-    Two lines of one host whose 64-bit hashes collide count as one line. Extra columns are ignored.
-    """
+    """id, mark, the figures and verdict of each row, and cut: the keys of the lines to remove, null if there are none."""
     bounded_batches(df.sparkSession)
-    ids = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(host_col).cast("string").alias("h"))
-    docs = frozen(ids.mapInArrow(_scan, f"rid long, id long, host long, {FEATURES}, keys array<long>, counts array<int>"))
+    ids = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), _mark(text_col, host_col).alias("mark"), F.col(text_col).alias("t"), F.col(host_col).cast("string").alias("h"))
+    docs = frozen(ids.mapInArrow(_scan, f"rid long, id long, mark long, host long, {FEATURES}, keys array<long>, counts array<int>"))
     lines = docs.select("rid", "id", "host", F.explode(F.arrays_zip("keys", "counts")).alias("l")).select("rid", "id", "host", F.col("l.keys").alias("key"), F.col("l.counts").alias("words"))
     hosts = docs.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     common = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("owner"), F.max("host").alias("host")).where(F.col("n") > min_docs)
@@ -99,23 +114,45 @@ def line_quality(
         hits = lines.join(F.broadcast(common), "key")
     else:
         hits = salted_join(lines, common, ["key"], F.col("rid"))
-    gone = hits.where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy("rid").agg(F.sum("words").alias("gone"))
+    gone = hits.where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy("rid").agg(F.sum("words").alias("gone"), F.collect_set("key").alias("cut"))
     out = docs.drop("keys", "counts", "host").join(gone, "rid", "left").withColumn("n_left_words", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words",
-        (~F.col("base_failed") & (F.col("n_left_words") >= F.greatest(F.lit(float(left_words)), left_share * F.col("n_words")))).alias("kept"),
+        "id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words",
+        (~F.col("base_failed") & (F.col("n_left_words") >= F.greatest(F.lit(float(left_words)), left_share * F.col("n_words")))).alias("kept"), "cut",
     )
 
 
+def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
+    """One row per input row: `<id_col>`, the base figures, base_failed, n_left_words, kept; `limits` as in _judged.
+
+    Null text has no words, fails the base rules and is not kept, as does an empty one; a null host is one host of its
+    own. Rows with a null id count as documents but never own a boilerplate line. Repeated rows count as documents each.
+    Two lines of one host whose 64-bit hashes collide count as one line. Extra columns are ignored.
+    """
+    return _judged(df, id_col, text_col, host_col, **limits).drop("mark", "cut").withColumnRenamed("id", id_col)
+
+
+def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
+    """The rows of `df` that line_quality keeps, without their boilerplate lines: their texts have n_left_words words.
+
+    Rows of one id, text and host have one verdict. Other columns pass through, whatever their names."""
+    df, back = set_aside(df, (), (id_col, text_col, host_col))
+    verdicts = _judged(df, id_col, text_col, host_col, **limits).where("kept").groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.first("cut").alias("_cut"))
+    out = df.withColumns({"_id": F.col(id_col).cast("long"), "_mark": _mark(text_col, host_col)}).join(verdicts, ["_id", "_mark"])
+    hit = F.col("_cut").isNotNull()
+    text = F.when(hit, _without(F.when(hit, F.col(text_col)), F.col(host_col).cast("string"), F.col("_cut"))).otherwise(F.col(text_col))
+    return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns]))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, as they were."""
-    return docs.join(line_quality(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the rules keep, without their hosts' boilerplate lines."""
+    return clean_documents(docs)
 
 
 OP7_SQL = r"""
