@@ -50,3 +50,10 @@ def test_stages_in_turn(spark, tmp_path):
     # the copy 104 loses its multi-line chunks before near-duplicates are sought, so what is left of it may stay
     assert set(range(30)) <= ids and not {100, 101, 102} & ids and 103 in ids
     assert all(r.token_ids is not None and r.n_tokens == len(r.token_ids) for r in out)
+
+
+def test_quality_stage_judges_each_row(spark):
+    rows = [*ROWS, ODD[5], (5, "few words", "en", "a", 1), (0, "a b", "en", None, 2), (None, "a b", "en", "a", 3)]
+    name, stage = corpus_pipeline.STAGES[0]
+    assert name == "quality_rules"
+    assert sorted(map(repr, (tuple(r) for r in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()))) == sorted(map(repr, [*ROWS, ODD[5]]))

@@ -93,7 +93,7 @@ def _without(texts: pa.Array, hosts: pa.Array, cuts: pa.Array) -> pa.Array:
 
 
 def _mark(text_col: str, host_col: str) -> Column:
-    """Hash of what, beside the id, the verdict on a row depends on."""
+    """Hash of what, beside the id, the verdict on a row depends on. Nulls have marks of their own."""
     host = F.col(host_col).cast("string")
     return F.xxhash64(F.col(text_col).isNull(), F.col(text_col), host.isNull(), host)
 
@@ -137,10 +137,12 @@ def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """The rows of `df` that line_quality keeps, without their boilerplate lines: their texts have n_left_words words.
 
-    Rows of one id, text and host have one verdict. Other columns pass through, whatever their names."""
+    Each row has the verdict on its own id, text and host: one without an id stays if it is good, and a rejected row goes
+    even if another with its id stays. Other columns pass through, whatever their names."""
     df, back = set_aside(df, (), (id_col, text_col, host_col))
-    verdicts = _judged(df, id_col, text_col, host_col, **limits).where("kept").groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.first("cut").alias("_cut"))
-    out = df.withColumns({"_id": F.col(id_col).cast("long"), "_mark": _mark(text_col, host_col)}).join(verdicts, ["_id", "_mark"])
+    verdicts = _judged(df, id_col, text_col, host_col, **limits).where("kept").groupBy(F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("mark").alias("_mark")).agg(F.first("cut").alias("_cut"))
+    own = F.col(id_col).cast("long")
+    out = df.withColumns({"_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(), "_mark": _mark(text_col, host_col)}).join(verdicts, ["_id", "_none", "_mark"])
     hit = F.col("_cut").isNotNull()
     text = F.when(hit, _without(F.when(hit, F.col(text_col)), F.col(host_col).cast("string"), F.col("_cut"))).otherwise(F.col(text_col))
     return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns]))
