@@ -148,6 +148,27 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == {0} | set(range(1 + len(near), 1 + len(near) + len(clean)))
 
 
+def test_stage_drops_only_what_is_similar_to_a_kept_row(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for n in (300, 800):  # chains: each is near the one before it, not the first
+        t = [word() for _ in range(n)]
+        for _ in range(25):
+            texts.append(" ".join(t))
+            for k in rng.sample(range(n), n // 100):
+                t[k] = word()
+    texts += [texts[0], "", None, "a b", "A b"]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    stay = []
+    for i, s in enumerate(sets):
+        if not any(near(s, sets[j]) for j in stay):
+            stay.append(i)
+    assert len(stay) > 8
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs(spark, texts), "").collect()) == stay
+
+
 def test_several_words_are_independent():
     f = simhash.fingerprint(" ".join(map(str, range(500))), 5, 3)
     assert len(set(f.tolist())) == 3 and all(16 <= int(np.bitwise_count(x)) <= 48 for x in f)

@@ -9,10 +9,13 @@ Texts leave Python as one number each. Equal fingerprints are one node. Lookups
 run emits a spanning forest of its verified links, never all pairs, and a run above `block` rows is dealt in blocks to
 several tasks, each block pair being compared somewhere. Components come from alternating large-star and small-star
 rounds over frozen edges.
+
+The pipeline's stage takes components as candidates only: what goes has the wanted Jaccard similarity with a row that stays.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import WORD, bounded_batches, frozen, salted_join, table
+from tracklore.llm.common import WORD, bounded_batches, frozen, salted_join, set_aside, table
 
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -32,15 +35,9 @@ BITS = 64
 def fingerprint(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
     """`words` unsigned 64-bit words; zero for a text without words. Word 0 is made of the shingles' XXH64 with seed 42,
     the others of a remixed XXH64."""
-    tokens = _WORD.findall((text or "").encode("utf-8", "replace").translate(_LOWER))
-    if not tokens:
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
         return np.zeros(words, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(shingle, len(tokens))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
     out = []
     for w in range(words):
         ones = np.zeros(BITS, dtype=np.int64)
@@ -51,6 +48,19 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle in order; of all words if they are fewer; none for a text without words."""
+    tokens = _WORD.findall((text or "").encode("utf-8", "replace").translate(_LOWER))
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(shingle, len(tokens))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
+
+
 def _remix(h: np.ndarray, word: int) -> np.ndarray:
     """Independent bits for a further word: the finaliser of SplitMix64 over h plus a multiple of its increment."""
     if not word:
@@ -240,13 +250,78 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-#: The stage's fingerprints: two words, so that a Jaccard similarity of 0.8 on five-word shingles (0.15 of the bits
-#: differ, 19 of 128) is told from less. Complete to 15 bits; README has the measured recall beyond.
-STAGE = {"shingle": 5, "words": 2, "max_bits": 22, "segments": 4}
+#: The stage's candidates: three words, so that a Jaccard similarity of 0.8 on five-word shingles (0.15 of the bits differ,
+#: 29 of 192) is well within 42 bits. The search is complete to 23 bits; README has the measured recall beyond.
+STAGE = {"shingle": 5, "words": 3, "max_bits": 42, "segments": 4}
+SIMILAR = 0.8
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least `least`; two empty ones have."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def near_copies(df: DataFrame, id_col: str, text_col: str, least: float = SIMILAR, **search: int) -> DataFrame:
+    """(id, k) of the rows to drop, k being the xxhash64 of id and text: in each component, by (id, k), a row goes if its
+    exact similarity with one that stays is at least `least`. Rows without an id take no part.
+
+    Rows meet the first of their component over a salted join, which clears groups of copies however large; only rows
+    unlike it are then read in order, component by component, against an index of those that stay."""
+    shingle = search["shingle"]
+    bounded_batches(df.sparkSession)
+    own = F.col(id_col).cast("long")
+    rows = df.where(own.isNotNull()).select(own.alias("id"), F.xxhash64(own, F.col(text_col).isNull(), F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
+    group = simhash_groups(rows, "k", "t", **search).select("k", F.col("component_id").alias("c")).distinct()
+    group = frozen(rows.select("id", "k").distinct().join(group, "k"))
+    first = group.groupBy("c").agg(F.min(F.struct("id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    group = salted_join(group, first, ["c"], F.col("k"), n=4)
+    texts = frozen(rows.dropDuplicates(["id", "k"]).join(group, ["id", "k"]).select("c", "id", "k", "t", (F.struct("id", "k") == F.col("first")).alias("is_first")))
+    pairs = salted_join(texts.where("NOT is_first"), texts.where("is_first").select("c", F.col("t").alias("u")), ["c"], F.col("k"), n=4)
+
+    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, it = None, np.zeros(0, np.uint64)
+        for b in batches:
+            near = []
+            ts = b.column(3).to_pylist()
+            for t, u in zip(ts, b.column(4).to_pylist()):
+                if u != text:
+                    text, it = u, np.unique(shingle_hashes(u, shingle))
+                near.append(t == u or similar(np.unique(shingle_hashes(t, shingle)), it, least))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([None if x else t for x, t in zip(near, ts)], pa.string()), pa.array(near, pa.bool_())], ["c", "id", "k", "t", "near"])
+
+    judged = frozen(pairs.select("c", "id", "k", "t", "u").mapInArrow(against_first, "c long, id long, k long, t string, near boolean"))
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stay, index = None, [], {}
+        for b in batches:
+            gone = []
+            for row, (c, t) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                if c != at:
+                    at, stay, index = c, [], {}
+                s = np.unique(shingle_hashes(t, shingle))
+                # similar sets share one of their smallest hashes, so many that the rest is less than `least` of the set
+                head = s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1].tolist() or [None]
+                if any(similar(s, stay[i], least) for i in {i for h in head for i in index.get(h, ())}):
+                    gone.append(row)
+                else:
+                    for h in head:
+                        index.setdefault(h, []).append(len(stay))
+                    stay.append(s)
+            take = pa.array(gone, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take)], ["id", "k"])
+
+    rest = judged.where("NOT near").select("c", "id", "k", "t").repartition("c").sortWithinPartitions("c", "id", "k")
+    return judged.where("near").select("id", "k").unionByName(rest.mapInArrow(in_order, "id long, k long"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; rows without an id stay."""
-    stay = simhash_groups(docs, **STAGE).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").select(*docs.columns)
-    return with_id.unionByName(docs.where("doc_id IS NULL"))
+    """Documents but for those with a five-word-shingle similarity of 0.8 or more with one that stays, found by SimHash;
+    of near-duplicates the smallest id stays. Rows without an id stay, repeated rows stay or go together."""
+    docs, back = set_aside(docs, (), ("doc_id", "text"))
+    gone = near_copies(docs, "doc_id", "text", **STAGE).select(F.col("id").alias("_id"), F.col("k").alias("_k"))
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"_id": own, "_k": F.xxhash64(own, F.col("text").isNull(), F.col("text"))})
+    return back(keyed.join(gone, ["_id", "_k"], "left_anti").select(*docs.columns))
