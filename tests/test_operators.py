@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracklore.operators import calibration, candidates, losses, metrics, scoring, splits, state
+from tracklore.operators import calibration, candidates, losses, metrics, scoring, simulate, splits, state
+from tracklore.plans import catalog
 from tracklore.sources import convert, files, schema
 
 
@@ -191,3 +192,27 @@ def test_questions_and_decisions(spark):
     d = spark.createDataFrame(rows, "run_id long, step int, p_success double, stuck double, escalate double")
     got = [(r.step, r.streak, r.decision) for r in scoring.guardian(d).orderBy("step").collect()]
     assert got == [(1, 0, "continue"), (5, 1, "continue"), (6, 2, "abort"), (7, 0, "escalate"), (8, 0, "escalate"), (9, 1, "continue")]
+
+
+def test_best_of_n_draws_from_all_runs(spark):
+    rng = random.Random(6)
+    rows = [(i, "hot" if i < 400 else f"t{i % 9}", i % 5 == 0, rng.random()) for i in range(450)]
+    d = spark.createDataFrame(rows, "run long, task_id string, outcome boolean, p double")
+    order = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("draw")).withColumn("h", F.xxhash64(F.lit("0"), "task_id", "draw", "run")).collect()
+    groups = {}
+    for r in order:
+        groups.setdefault((r.task_id, r.draw), []).append((r.h, r.p, float(r.outcome)))
+    got = {r.n: r for r in simulate.best_of_n(d, draws=7).collect()}
+    for n in (1, 2, 4, 8):
+        firsts = {k: sorted(v)[:n] for k, v in groups.items() if len(v) >= n}
+        want = [max(x[1:] for x in v)[1] for v in firsts.values()]
+        assert got[n].model == pytest.approx(sum(want) / len(want)) and got[n].groups == len({t for t, _ in firsts})
+        assert got[n].random == pytest.approx(sum(v[0][2] for v in firsts.values()) / len(firsts))
+
+
+def test_registered_simulations_have_full_settings(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_points", lambda *a: spark.range(2).withColumnRenamed("id", "run"))
+    monkeypatch.setattr(simulate, "latest_scores", lambda d: d)
+    monkeypatch.setattr(simulate, "best_of_n", lambda d, draws=200: draws)
+    monkeypatch.setattr(simulate, "policy_operating_points", lambda dev, test, grid: grid.count())
+    assert catalog.best_of_n(spark, "") == 200 and catalog.policy_operating_points(spark, "") == 97

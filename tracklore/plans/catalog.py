@@ -597,7 +597,7 @@ def abort_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("policy_operating_points")
 def policy_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _points(spark, sf_dir)
-    return simulate.policy_operating_points(d.where("run % 2 = 0"), d.where("run % 2 = 1"), simulate.thresholds(spark, n=13))
+    return simulate.policy_operating_points(d.where("run % 2 = 0"), d.where("run % 2 = 1"), simulate.thresholds(spark))
 
 
 LAST = PT + ", la AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY run ORDER BY prefix_frac DESC, run || '@' || prefix_len) = 1), ra AS (SELECT policy, avg(outcome::INT) AS rate FROM la GROUP BY 1), x AS (SELECT la.*, first_value(policy) OVER (PARTITION BY task_id ORDER BY rate DESC, policy) AS top FROM la JOIN ra USING (policy))"
@@ -623,7 +623,7 @@ def within_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_of_n")
 def best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.best_of_n(simulate.latest_scores(_points(spark, sf_dir)), draws=20)
+    return simulate.best_of_n(simulate.latest_scores(_points(spark, sf_dir)))
 
 
 @query("answers", LV + " SELECT doc_id, round(p, 6) AS p_true, CASE WHEN p > 1 - p THEN 'true' ELSE 'false' END AS choice, round_even((greatest(p, 1 - p) - 0.5) / 0.5, 4) AS confidence FROM d")
