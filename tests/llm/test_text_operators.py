@@ -64,31 +64,62 @@ def test_encode_column(spark):
 
 # ------------------------------------------------------------------------------------------------ mixing
 
-def test_frame_is_a_pfair_schedule():
-    parts = mixing.parts_of({"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.01}, 64)
-    slots = mixing.frame_slots(parts)
-    assert sum(parts.values()) == 64 and [s for s, _, _ in slots] == list(range(64)) and min(parts.values()) >= 1
-    done = dict.fromkeys(parts, 0)
-    for t, s, i in slots:
-        w = Fraction(parts[s], 64)
-        assert int(i / w) <= t < ceil((i + 1) / w)
-        assert i == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - (t + 1) * Fraction(parts[x], 64)) < 1 for x in parts)
-
-
-def test_mix_sends_every_row_and_keeps_weights(spark):
-    rows = [(i, "big" if i % 3 else "small") for i in range(900)] + [(None, None), (5, "big"), (5, "big")]
-    d = spark.createDataFrame(rows, "doc_id long, source string")
-    out = mixing.mix(d, weights={"big": 1.0, "small": 1.0, "": 0.1}, frame=64, block_rows=4).toPandas()
-    assert set(out[out.epoch == 0].doc_id.dropna()) == set(range(900)) and (out.epoch == 0).sum() == len(rows)
-    assert not out.duplicated(["slot", "place"]).any()
-    assert out.groupby("slot").source.nunique(dropna=False).max() == 1
-    first = out[(out.slot < 128) & out.source.notna()]
-    assert abs(first[first.source == "big"].slot.nunique() - first[first.source == "small"].slot.nunique()) <= 2
+def assert_pfair(weights, slots, frame):
+    """Every block in its window, every source less than one block off its exact share after every slot."""
+    parts, whole = mixing.exact(weights)
+    sent = [0] * len(weights)
+    t = 0
+    for start, stop, before, goal in mixing.frames(parts, whole, slots, frame):
+        assert before == sent and t == start
+        for s, i in zip(*mixing.frame_slots(before, goal, start, stop, parts, whole)):
+            w = Fraction(parts[s], whole)
+            assert i == sent[s] and int(i / w) <= t < ceil((i + 1) / w)
+            sent[s] += 1
+            t += 1
+            assert all(abs(n * whole - t * p) < whole for n, p in zip(sent, parts))
+    assert t == slots
+
+
+def test_schedule_is_pfair_for_the_targets_themselves():
+    assert_pfair([0.899, 0.1, 0.001], 100_000, 1024)
+    rng = random.Random(1)
+    for _ in range(400):
+        weights = [rng.choice([rng.random(), rng.random() ** 8 + 1e-6, rng.randint(1, 5), 0.25]) for _ in range(rng.randint(1, 9))]
+        assert_pfair(weights, rng.randint(1, 400), rng.randint(1, 60))
+
+
+@pytest.mark.parametrize("frame,chunk", [(1024, 64), (32, 3)])
+def test_mix_against_a_plain_schedule(spark, monkeypatch, frame, chunk):
+    """Slots, places and epochs of all rows against one earliest-deadline-first pass over the whole schedule's blocks."""
+    monkeypatch.setattr(mixing, "CHUNK_BLOCKS", chunk)
+    monkeypatch.setattr(mixing, "CHUNK_EPOCHS", chunk)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(i, "big" if i % 3 else "small") for i in range(900)] + [(None, None), (5, "big"), (5, "big"), (None, None), (2000, "tiny")]
+    d = spark.createDataFrame(rows, "doc_id long, source string").withColumnRenamed("source", "src")
+    weights = {"big": 1.0, "small": 1.0, "": 0.1, "tiny": 0.3}
+    out = mixing.mix(d, source_col="src", weights=weights, frame=frame, block_rows=4).toPandas()
+    names = sorted(weights)
+    parts, whole = mixing.exact([weights[n] for n in names])
+    sizes = {n: sum((s or "") == n for _, s in rows) for n in names}
+    blocks = [ceil(sizes[n] / 4) for n in names]
+    slots = max(-(-b * whole // p) for b, p in zip(blocks, parts))
+    got = {r.slot: (r.source, r.n, r.epoch) for r in out.assign(source=out.src.fillna("")).groupby("slot").agg(source=("source", "first"), kinds=("source", "nunique"), n=("place", "size"), epoch=("epoch", "first")).reset_index().itertuples()}
+    assert sorted(got) == list(range(slots))
+    sent = dict.fromkeys(names, 0)
+    for t in range(slots):
+        name, n, epoch = got[t]
+        k = names.index(name)
+        block = sent[name] % blocks[k]
+        assert epoch == sent[name] // blocks[k] and n == min(4, sizes[name] - 4 * block)
+        assert sent[name] * whole // parts[k] <= t < -(-(sent[name] + 1) * whole // parts[k])
+        sent[name] += 1
+    assert not out.duplicated(["slot", "place"]).any() and out.groupby("slot").src.nunique(dropna=False).max() == 1
+    assert (out.epoch == 0).sum() == len(rows) and set(out[out.epoch == 0].doc_id.dropna()) == {*range(900), 2000}
+    again = out[(out.src == "small")].groupby("epoch").apply(lambda g: g.sort_values(["slot", "place"]).doc_id.tolist(), include_groups=False)
+    assert all(x == again[0][: len(x)] for x in again)  # each epoch has the rows in the same order
     with pytest.raises(ValueError):
-        mixing.mix(d, weights={"big": 1.0})
-    assert mixing.mix(d.where("false")).count() == 0
+        mixing.mix(d, source_col="src", weights={"big": 1.0})
+    assert mixing.mix(d.where("false"), source_col="src").count() == 0
 
 
 # ------------------------------------------------------------------------------------------------ personal data
