@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,10 +27,21 @@ def frozen(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir. Without that setting a session on one machine
+    has a folder of its own; on a cluster nothing else is known to be shared, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return folder
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner", n: int = 16) -> DataFrame:
     """Equi-join of a possibly skewed `left` with a `right` of one row per key: right is repeated `n` times so that
     a hot key of left spreads over `n` tasks. Right must be narrow."""
@@ -36,6 +50,31 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
+#: Keys with more than this share of all rows are hot: fewer than 1 / HOT_SHARE of them, whatever the input.
+HOT_SHARE = 0.002
+
+
+def hot_keys(rows: DataFrame, key: str) -> list[tuple[int, int]]:
+    """(key, parts) of the keys that have more than HOT_SHARE of the rows, and at least 64 of them: in how many parts to
+    deal them, so that a part has a quarter of that share at most. The parts of all keys are under 5 / HOT_SHARE."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    least = max(64.0, HOT_SHARE * rows.count())
+    return [(r[0], r[1]) for r in counts.where(F.col("_n") > least).select(key, F.ceil(F.col("_n") * (4 / least)).cast("int")).collect()]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple[int, int]], salt: Column, on: Column | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join on `key`, a long, that deals the rows of hot keys by `salt` and repeats their rows of `right` for each
+    part. `on` is a further condition; columns of the two sides but for the key have different names."""
+    other = right.withColumnRenamed(key, "_right")
+    same = F.col(key) == F.col("_right")
+    if hot:
+        parts = F.broadcast(left.sparkSession.createDataFrame(hot, "_hot long, _parts int"))
+        left = left.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(salt, "_parts"), F.lit(0))).drop("_hot", "_parts")
+        other = other.join(parts, F.col("_right") == F.col("_hot"), "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+        same = same & (F.col("_salt") == F.col("_turn"))
+    return left.join(other, same if on is None else same & on, how).drop("_right", "_salt", "_turn")
+
+
 def set_aside(df: DataFrame, results: tuple[str, ...], keep: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """`df` with other names for columns that start with an underscore or are named like a result, whatever their case,
     but for those in `keep`, and a function that gives them their names back. Without such columns both change nothing."""

@@ -6,8 +6,8 @@ whose 64-bit hash occurs twice or more are compared byte by byte (grouped by the
 (id, place), are removed.
 
 Only hashes travel for chunks that occur once. Texts move twice, to meet the candidate list and the removal list of
-their document; only texts with candidates are cut again, and only candidate chunks are compared. Hashes are counted
-after partial aggregation and joined with salt; Spark splits skewed partitions of the joins on texts.
+their document; only texts with candidates are cut again, and only candidate chunks are compared. Hashes and chunks are
+counted after partial aggregation; the few that a large share of the places have are joined in parts.
 
 The pipeline's stage goes further than the query, whose rule its SQL fixes: see `passage_dedup`.
 """
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import frozen, salted_join, set_aside, table
+from tracklore.functions.text import let
+from tracklore.llm.common import frozen, hot_join, hot_keys, set_aside, table
 
 EVERY = 3
 #: The pipeline cuts every repeated run of lines with over 50 words.
@@ -48,25 +49,30 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
 
     Null text stays null; empty text has no chunk to cut. A text all of whose chunks are cut becomes empty. Rows with a
     null id are neither cut nor counted. Rows with the same id and the same text count as one occurrence and are cut
-    alike. Other columns pass through, whatever their names, but an input column n_cut_chunks gives way to the result.
+    alike. An empty table gives an empty result. Very long texts are cut in time linear in their lines, and held in memory by
+    one task. Other columns pass through, whatever their names, but an input column n_cut_chunks gives way to the result.
     """
     df, back = set_aside(df.drop("n_cut_chunks"), (), (id_col, text_col))
     key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
     rows = df.select(key.alias("_key"), F.col(text_col).alias("_t")).where("_key IS NOT NULL")
     hashes = F.transform("_chunks", lambda c: F.when(c.rlike(TWO_LINES), F.xxhash64(c)))
-    places = frozen(_chunked(rows, "_t", every).select("_key", hashes.alias("hs"))).select("_key", F.posexplode("hs").alias("k", "h")).where("h IS NOT NULL")
+    places = frozen(_chunked(rows, "_t", every).select("_key", hashes.alias("hs")).select("_key", F.posexplode("hs").alias("k", "h")).where("h IS NOT NULL"))
+    hot = hot_keys(places, "h")
     twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    listed = salted_join(places, twice, ["h"], F.xxhash64("_key")).groupBy("_key").agg(F.collect_set("k").alias("_ks"))  # some of a text's own chunks
+    listed = hot_join(places, twice, "h", hot, F.xxhash64("_key")).groupBy("_key").agg(F.collect_set("k").alias("_ks"))  # some of a text's own chunks
 
-    # only texts with a candidate are cut into chunks again
-    chosen = _chunked(rows.join(listed, "_key"), "_t", every).select("_key", "_ks", F.posexplode("_chunks").alias("k", "c")).where(F.array_contains("_ks", F.col("k"))).drop("_ks")
+    # only texts with a candidate are cut into chunks again, and only candidates leave them
+    wanted = let("_chunks", lambda c: F.transform("_ks", lambda k: F.struct(k.alias("k"), F.element_at(c, k + 1).alias("c"))))
+    chosen = _chunked(rows.join(listed, "_key"), "_t", every).select("_key", F.inline(wanted)).withColumn("h", F.xxhash64("c"))
     at = F.struct("_key", "k")
-    first = chosen.groupBy("c").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
-    cut = frozen(chosen.join(first, "c").where(F.struct("_key", "k") != F.col("first")).groupBy("_key").agg(F.sort_array(F.collect_set("k")).alias("_cut")))
+    first = chosen.groupBy("h", "c").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", F.col("c").alias("same"), "first")
+    copies = hot_join(chosen, first, "h", hot, F.xxhash64("_key"), F.col("c") == F.col("same")).where(at != F.col("first"))
+    cut = frozen(copies.groupBy("_key").agg(F.collect_set("k").alias("_cut")))
 
     out = df.withColumn("_key", key).join(cut, "_key", "left")
     out = _chunked(out.withColumn("_todo", F.when(F.col("_cut").isNotNull(), F.col(text_col))), "_todo", every)
-    left = F.filter("_chunks", lambda c, i: ~F.array_contains("_cut", i))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_cut"))
+    left = let("_chunks", lambda c: F.transform(stay, lambda i: F.element_at(c, i + 1)))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_chunks")))
 
@@ -121,11 +127,12 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     places = frozen(docs.select("_key", F.transform(_units(every, words), unit).alias("us"))).select("_key", F.explode("us").alias("_u")).select("_key", "_u.*")
+    hot = hot_keys(places, "a")
     twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    chosen = frozen(salted_join(places, twice, ["a"], F.xxhash64("_key")))
+    chosen = frozen(hot_join(places, twice, "a", hot, F.xxhash64("_key")))
     at = F.struct("_key", "u")
-    first = chosen.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
-    later = salted_join(chosen, first, ["a", "b"], F.xxhash64("_key"), n=4).where(F.struct("_key", "u") != F.col("first"))
+    first = chosen.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("a", F.col("b").alias("same"), "first")
+    later = hot_join(chosen, first, "a", hot, F.xxhash64("_key"), F.col("b") == F.col("same")).where(at != F.col("first"))
 
     def merge(a: Column, u: Column) -> Column:
         last = F.element_at(a, -1)
@@ -137,7 +144,8 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = frozen(units.select("_key", F.aggregate("us", F.array().cast("array<bigint>"), merge).alias("_cut")))
     out = df.withColumn("_key", key).join(cut, "_key", "left")
     todo = F.split(F.when(F.col("_cut").isNotNull(), F.col(text_col)), "\n", -1)
-    left = F.filter(todo, lambda x, i: ~F.exists("_cut", lambda u: (i >= F.shiftright(u, 31)) & (i <= u % PLACE)))
+    gone = F.flatten(F.transform("_cut", lambda u: F.sequence(F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int"))))
+    left = let(todo, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.element_at(x, i + 1)))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_passages")))
 
