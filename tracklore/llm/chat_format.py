@@ -10,12 +10,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracklore.llm.common import bounded_batches, table
 
@@ -29,10 +31,21 @@ _OPEN = re.compile(r"### ((?:[^\\:]|\\.)*): ", re.S)
 END = "</turn>\n"
 
 
+#: Turns whose rendered form is remembered between prefixes, and the longest text for which it is.
+REMEMBER, REMEMBER_CHARS = 1 << 14, 2_000
+
+
+def _piece(turn: Turn) -> str:
+    return f"### {_ROLE.sub(r'\\\g<0>', turn[0])}: {_TEXT.sub(r'\\\g<0>', turn[1])}{END}"
+
+
+_known_piece = lru_cache(maxsize=REMEMBER)(_piece)
+
+
 def marked(turns: list[Turn]) -> str:
     """`### role: text</turn>` and a newline per turn. A backslash goes before each backslash, # and < of a text, so a
     control string never stands in one, and before each colon of a role as well."""
-    return "".join(f"### {_ROLE.sub(r'\\\g<0>', r)}: {_TEXT.sub(r'\\\g<0>', t)}{END}" for r, t in turns)
+    return "".join([_known_piece(t) if len(t[1]) <= REMEMBER_CHARS else _piece(t) for t in turns])
 
 
 def unescape(s: str) -> str:
@@ -70,56 +83,72 @@ def format_conversations(
     """One row per conversation: `<conv_col>`, roles, texts, formatted, turn_starts, turn_ends (null for a template that
     rewrites history), rewrites_history.
 
-    Rows of a conversation are put in order of turn, role and text, nulls first. Null roles and texts count as empty;
-    rows with a null conversation id form one conversation. Repeated rows are repeated turns. An empty table gives no
-    rows; extra columns are ignored. A conversation is held in one task's memory, as its output is.
+    Rows of a conversation are put in order of turn, role and text, nulls first. Null roles and texts count as empty; each
+    row with a null conversation id is a conversation of its own. Ids may be of any type. Repeated rows are repeated
+    turns, equal turn numbers stand in order of role and text. An empty table gives no rows; extra columns are ignored,
+    whatever their names. A conversation is held in one task's memory, as its output is; very long texts count as any
+    others. Rendering every prefix takes time in the square of the number of turns, times the length of a turn, for
+    copying and comparing strings.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("k"), F.coalesce(F.col(role_col), F.lit("")).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartition("c").sortWithinPartitions("c", "k", "r", "t").select("c", "r", "t")
+    lone = F.when(F.col("c").isNull(), F.xxhash64("k", "r", "t"))  # spreads rows without an id
+    rows = rows.repartition("c", lone).sortWithinPartitions("c", "k", "r", "t").select("c", "r", "t")
+    kind = df.schema[conv_col].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [to_arrow_type(kind), *_KINDS]
+
         def stream():
+            n = 0
             for b in batches:
-                yield from zip(*(x.to_pylist() for x in b.columns))
+                for conv, r, t in zip(*(x.to_pylist() for x in b.columns)):
+                    n += conv is None
+                    yield (conv, n if conv is None else 0), r, t
 
         pile: list[tuple] = []
-        for conv, own in groupby(stream(), key=itemgetter(0)):
+        for (conv, _), own in groupby(stream(), key=itemgetter(0)):
             turns = [(r, t) for _, r, t in own]
             out, found = spans(turns, template)
             pile.append((conv, [r for r, _ in turns], [t for _, t in turns], out, found and [a for a, _ in found], found and [b for _, b in found], found is None))
             if len(pile) >= 200:
-                yield _batch(pile)
+                yield _batch(pile, kinds)
                 pile = []
         if pile:
-            yield _batch(pile)
+            yield _batch(pile, kinds)
 
-    return rows.mapInArrow(scan, f"`{conv_col}` long, roles array<string>, texts array<string>, formatted string, turn_starts array<int>, turn_ends array<int>, rewrites_history boolean")
+    return rows.mapInArrow(scan, f"`{conv_col}` {kind.simpleString()}, roles array<string>, texts array<string>, formatted string, turn_starts array<int>, turn_ends array<int>, rewrites_history boolean")
 
 
-_KINDS = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()]
+_KINDS = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()]
 
 
-def _batch(pile: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*pile), _KINDS)], ["conv", "roles", "texts", "formatted", "turn_starts", "turn_ends", "rewrites_history"])
+def _batch(pile: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*pile), kinds)], ["conv", "roles", "texts", "formatted", "turn_starts", "turn_ends", "rewrites_history"])
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """What reading the output back gives, as counts and hashes."""
+    """What reading the output back gives, as counts and hashes. Of a conversation whose template rewrites history only
+    formatted_chars is known; the others are null."""
+    kind = formatted.schema[conv_col].dataType
+    names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for conv, text, a, z in zip(*(x.to_pylist() for x in b.columns)):
+            for text, a, z in zip(*(x.to_pylist() for x in b.columns[1:])):
+                if a is None:
+                    out.append((None, None, None, None, len(text)))
+                    continue
                 turns, mask = read_back(text, list(zip(a, z)))
                 loss = "".join(unescape(text[i:j]) for i, j in mask)
                 sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{t}\n" for r, t in turns), loss)]
-                out.append((conv, len(turns), sha[0], len(loss), sha[1], len(text)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
+                out.append((len(turns), sha[0], len(loss), sha[1], len(text)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds))], names)
 
-    schema = f"`{conv_col}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.where("NOT rewrites_history").select(conv_col, "formatted", "turn_starts", "turn_ends").mapInArrow(scan, schema)
+    schema = f"`{conv_col}` {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select(conv_col, "formatted", "turn_starts", "turn_ends").mapInArrow(scan, schema)
 
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -132,12 +161,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
              coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
              sum(14 + 2 * len(role) - len(regexp_replace(role, '[\\#<:]', '', 'g')) + 2 * len(text) - len(regexp_replace(text, '[\\#<]', '', 'g'))) AS formatted
-      FROM c GROUP BY conv_id)
+      FROM c GROUP BY conv_id, lone)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted AS BIGINT) AS formatted_chars FROM g
 """
