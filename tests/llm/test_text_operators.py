@@ -1,13 +1,18 @@
+import hashlib
+import os
 import random
 import re
 from fractions import Fraction
 from math import ceil
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tracklore.llm import chat_format, language_id, mixing, pii, sentence_pieces, toxicity
 
+DOCS = "/root/testdata/sf0.01/documents.parquet"
+
 
 # ------------------------------------------------------------------------------------------------ pieces
 
@@ -25,12 +30,14 @@ def test_pieces_best_score_and_round_trip():
         raw = sentence_pieces.read_pieces(f.read())
     p = sentence_pieces.Pieces(raw)
     rng = random.Random(1)
-    texts = ["", " ", "  a   b ", "Hello world", "naïve 漢字 \U0001f600 x\ty\n", "ß" * 50]
+    texts = ["", " ", "  a   b ", "▁", "a▁ ▁b", "Hello world", "naïve 漢字 \U0001f600 x\ty\n", "ß" * 50]
     texts += ["".join(rng.choice("abc  thein gré漢\n\U0001f600") for _ in range(60)) for _ in range(60)]
     for t in texts:
         ids = p.encode(t)
         assert p.decode(ids) == t
         if t:
+            if "▁" in t:
+                continue
             marked = "▁" + t.replace(" ", "▁")
             want, score, low = slow_viterbi(raw, marked)
             got, raw_bytes = 0.0, bytearray()
@@ -44,22 +51,68 @@ def test_pieces_best_score_and_round_trip():
             assert got == pytest.approx(want)
 
 
-def test_pieces_agree_with_the_library_in_unigram_mode(tmp_path):
+def as_unigram(blob):
+    """The model with its trainer's type (field 3 of field 2) set to unigram."""
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = b""
+    at = 0
+    while at < len(blob):
+        begin, n, shift = at, 0, 0
+        tag = blob[at]
+        at += 1
+        while True:
+            n |= (blob[at] & 127) << shift
+            shift += 7
+            at += 1
+            if blob[at - 1] < 128:
+                break
+        body = blob[at : at + n]
+        at += n
+        out += bytes([18]) + varint(n + 2) + body + b"\x18\x01" if tag == 18 else blob[begin:at]  # the last value of a field counts
+    return out
+
+
+def test_pieces_agree_with_the_library():
+    """Encoding against the best path of the library's unigram lattice over the same pieces and scores, real texts included.
+    (The library's shortcut for the best path alone takes a worse one for some words of this vocabulary, as `the`.)"""
     sp = pytest.importorskip("sentencepiece")
-    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
-    m = pb.ModelProto()
     with open(sentence_pieces.MODEL, "rb") as f:
-        m.ParseFromString(f.read())
-    assert [(x.piece, x.type) for x in m.pieces][:300] == [(t, k) for t, _, k in sentence_pieces.read_pieces(m.SerializeToString())][:300]
-    del sp
+        blob = f.read()
+    lib = sp.SentencePieceProcessor(model_proto=as_unigram(blob))
+    raw = sentence_pieces.read_pieces(blob)
+    p = sentence_pieces.Pieces(raw)
+    rng = random.Random(3)
+    texts = ["Hello world", "naïve 漢字 😀 x", "a" * 40, " two  spaces "] + ["".join(rng.choice("abc  thein gré漢😀") for _ in range(80)) for _ in range(200)]
+    if os.path.exists(DOCS):
+        texts += [x for t in pq.read_table(DOCS, columns=["text"])["text"].to_pylist()[:60] for x in (t or "").split("\n") if x and len(x) < 400][:600]
+    score = [s for _, s, _ in raw]
+    total = lambda ids: sum(score[i] for i in ids if p.kind[i] == sentence_pieces.NORMAL)
+    same = 0
+    for t in texts:
+        mine, theirs = p.encode(t), lib.nbest_encode(t, nbest_size=2)[0]
+        assert total(mine) >= total(theirs), t
+        if total(mine) > -1e6:  # the library adds in single precision, which loses ranks beside scores of -1e9
+            assert total(mine) == total(theirs), t
+            same += 1
+    assert same >= 200
 
 
 def test_encode_column(spark):
-    d = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string")
+    long = "word ▁ \U0001f600\n" * 100_000
+    texts = {1: "a b", 2: "", 3: None, 4: "a ▁ b", 5: "▁▁", 6: "\0\x7f\x80 \ufffd", 7: long, 8: long}
+    d = spark.createDataFrame([(i, t, "x") for i, t in [*texts.items(), (1, "a b")]], "doc_id long, text string, n_tokens string")
     out = {r.doc_id: r for r in sentence_pieces.encode_column(d).collect()}
-    assert out[1].round_trip and out[2].token_ids == [] and out[3].token_ids is None and out[3].n_tokens is None
+    assert all(out[i].round_trip for i in (1, 2, 4, 5, 6, 7, 8)) and out[2].token_ids == [] and out[3].token_ids is None and out[3].n_tokens is None
+    assert out[7].token_ids == out[8].token_ids and out[3].round_trip is None
     back = sentence_pieces.decode_column(sentence_pieces.encode_column(d, check=False)).collect()
-    assert {r.doc_id: r.decoded for r in back} == {1: "a b", 2: "", 3: None}
+    assert {r.doc_id: r.decoded for r in back} == texts and len(back) == 9
+    assert sentence_pieces.encode_column(d.where("false")).count() == 0
 
 
 # ------------------------------------------------------------------------------------------------ mixing
@@ -264,8 +317,32 @@ def test_chat_round_trip_and_history():
 
 
 def test_chat_rows(spark):
-    d = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "q"), (None, 0, None, "x"), (2, 0, "user", "a"), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(d)).collect()}
-    assert (out[1].n_turns, out[1].loss_chars, out[None].n_turns, out[2].n_turns) == (2, 0, 1, 2)
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "q"), (None, 0, None, "x"), (None, 0, None, "x"), (None, 1, "assistant", "y"), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, "user", "u"), (3, None, "system", "s"), (3, 0, "assistant", "b")]
+    d = spark.createDataFrame([(*r, "f", 1, 2) for r in rows], "conv_id long, turn long, role string, text string, formatted string, c int, lone int")
+    got = chat_format.digests(chat_format.format_conversations(d)).collect()
+    out = {r.conv_id: r for r in got}
+    assert (out[1].n_turns, out[1].loss_chars, out[2].n_turns) == (2, 0, 2)
+    assert sorted((r.n_turns, r.loss_chars) for r in got if r.conv_id is None) == [(1, 0), (1, 0), (1, 1)]
+    whole = {r.conv_id: r for r in chat_format.format_conversations(d).collect() if r.conv_id}
+    assert whole[3].roles == ["system", "assistant", "user"]  # a null turn first, then by role
     assert chat_format.format_conversations(d.where("false")).count() == 0
-    assert chat_format.digests(chat_format.format_conversations(d.where("conv_id IS NOT NULL"), template=lambda t: str(len(t)))).count() == 0
+    rewritten = chat_format.digests(chat_format.format_conversations(d.where("conv_id = 3"), template=lambda t: str(len(t)))).collect()
+    assert [(r.conv_id, r.n_turns, r.formatted_chars) for r in rewritten] == [(3, None, 1)]
+    named = d.selectExpr("'c' || conv_id AS conv_id", "turn", "role", "text")
+    assert {r.conv_id for r in chat_format.digests(chat_format.format_conversations(named)).collect()} == {None, "c1", "c2", "c3"}
+
+
+def test_chat_against_a_plain_template(spark):
+    """All columns of the query against turns put together directly, control strings, long texts and many turns included."""
+    rng = random.Random(12)
+    bits = ["\\", "#", "<", "### user: ", "</turn>\n", ":", "\n", "plain ", "😀", chat_format.PROBE]
+    convs = {i: [(rng.choice(["user", "assistant", "sys:tem#"]), "".join(rng.choices(bits, k=rng.randint(0, 9)))) for _ in range(rng.randint(1, 7))] for i in range(60)}
+    convs[100] = [("user" if k % 2 else "assistant", f"turn {k} <b>") for k in range(1500)]
+    convs[101] = [("assistant", "long # text\n" * 100_000), ("user", "")]
+    d = spark.createDataFrame([(i, k, r, t) for i, turns in convs.items() for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(d)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for i, turns in convs.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        size = sum(14 + len(r) + len(t) + sum(r.count(c) for c in "\\#<:") + sum(t.count(c) for c in "\\#<") for r, t in turns)
+        assert tuple(out[i]) == (i, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), size)

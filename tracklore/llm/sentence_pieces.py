@@ -6,6 +6,9 @@ the highest sum of piece scores. Characters that no piece covers cost `lowest sc
 
 No piece holds a word start mark after another character, so the search splits exactly before each mark that follows
 another character; results of short segments are remembered in a table of bounded size.
+
+The mark stands for a space. Where a text holds the mark's own character, that goes out as its bytes, so decoding gives
+every text back as it was.
 """
 
 from __future__ import annotations
@@ -63,6 +66,22 @@ def read_pieces(blob: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+class _Known(dict):
+    """Ids of short segments, made when first asked for; emptied when full."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, s: str) -> list[int]:
+        ids = self.make(s)
+        if len(s) <= REMEMBER_CHARS:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[s] = ids
+        return ids
+
+
 class Pieces:
     """A vocabulary with its automaton."""
 
@@ -70,22 +89,26 @@ class Pieces:
         self.text = [p for p, _, _ in pieces]
         self.kind = [k for _, _, k in pieces]
         self.byte = [0] * 256
+        #: What a piece adds to a decoded text; bytes of 128 and more are lone surrogates until the text is whole.
+        self.plain = [p.replace(MARK, " ") if k == NORMAL else "" for p, _, k in pieces]
         self.auto = ahocorasick.Automaton()
         scores = []
         self.splits = True
         for i, (p, s, k) in enumerate(pieces):
             if k == BYTE:
-                self.byte[int(p[3:5], 16)] = i
+                b = int(p[3:5], 16)
+                self.byte[b] = i
+                self.plain[i] = chr(b) if b < 128 else chr(0xDC00 + b)
             elif k == NORMAL:
                 scores.append(s)
                 self.auto.add_word(p, (len(p), s, i))
                 self.splits &= MARK not in p.lstrip(MARK)
         self.auto.make_automaton()
         self.no_piece = min(scores, default=0.0) - 10.0
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self.segment)
 
     def segment(self, s: str) -> list[int]:
-        """Ids of the best segmentation. Ties go to the piece that starts first."""
+        """Ids of the best segmentation. Of equal scores at a position, the piece that starts first there."""
         n = len(s)
         best = [0.0] + [float("-inf")] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -118,61 +141,57 @@ class Pieces:
         out.reverse()
         return out
 
+    def _encode_marked(self, marked: str) -> list[int]:
+        if not self.splits:
+            return self.segment(marked)
+        return list(chain.from_iterable(map(self.known.__getitem__, _SEGMENT.findall(marked))))
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text; a word start mark is put before it and stands for each space, as the model's settings say."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
-        if not self.splits:
-            return self.segment(marked)
-        known, out = self.known, []
-        for s in _SEGMENT.findall(marked):
-            ids = known.get(s)
-            if ids is None:
-                ids = self.segment(s)
-                if len(s) <= REMEMBER_CHARS:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[s] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        if MARK not in text:
+            return self._encode_marked(MARK + text.replace(" ", MARK))
+        own = [self.byte[b] for b in MARK.encode()]
+        first, *rest = (part.replace(" ", MARK) for part in text.split(MARK))
+        out = self._encode_marked(MARK + first)
+        for part in rest:
+            out += own + self._encode_marked(part)
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids. Texts that hold the mark itself come back with spaces; all others come back whole."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            if self.kind[i] == BYTE:
-                raw.append(int(self.text[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.kind[i] == NORMAL:
-                out.append(self.text[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        """The text of ids: of those of `encode`, the text that was encoded. Bytes that are no UTF-8 become U+FFFD."""
+        out = "".join(map(self.plain.__getitem__, ids))[1:]
+        return out if out.isascii() else out.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Pieces:
-    with open(path, "rb") as f:
-        return Pieces(read_pieces(f.read()))
+def load(blob: bytes) -> Pieces:
+    return Pieces(read_pieces(blob))
+
+
+def _shipped(df: DataFrame, model: str):
+    """The model's file, read by the driver and sent to the executors."""
+    with open(model, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_column(df: DataFrame, text_col: str = "text", model: str = MODEL, check: bool = True) -> DataFrame:
     """`df` plus token_ids array<int>, n_tokens int and, with `check`, round_trip boolean (decoding gives the text back).
 
-    Null text gives null ids, null count and null round_trip; empty text gives no ids. The model file is read once in
-    each Python worker from a path that all executors have. Other columns pass through, but
-    input columns named like a result give way to it.
+    Null text gives null ids, null count and null round_trip; empty text gives no ids. Very long texts are one search,
+    in time linear in their length; a task holds a batch of them. Of segmentations with equal scores the one whose last
+    piece starts first is taken, from the end on. Repeated rows give repeated results, an empty table an empty one. The
+    driver reads the model file and sends it. Other columns pass through, but input columns named like a result give way
+    to it.
     """
     bounded_batches(df.sparkSession, 4)
     df = df.drop("token_ids", "n_tokens", *["round_trip"] * check)
     names = df.columns
+    held = _shipped(df, model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = load(held.value)
         for b in batches:
             texts = b.column(names.index(text_col)).to_pylist()
             ids = [None if t is None else pieces.encode(t) for t in texts]
@@ -182,7 +201,7 @@ def encode_column(df: DataFrame, text_col: str = "text", model: str = MODEL, che
             arr = pa.ListArray.from_arrays(offs, pa.array(flat), mask=pa.array([x is None for x in ids]))
             cols = [*b.columns, arr, pa.array(lens, pa.int32())]
             if check:
-                cols.append(pa.array([None if t is None else pieces.decode(x) == t.replace(MARK, " ") for t, x in zip(texts, ids)], pa.bool_()))
+                cols.append(pa.array([None if t is None else pieces.decode(x) == t for t, x in zip(texts, ids)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, [*names, "token_ids", "n_tokens", *["round_trip"] * check])
 
     extra = "token_ids array<int>, n_tokens int" + ", round_trip boolean" * check
@@ -194,9 +213,10 @@ def decode_column(df: DataFrame, ids_col: str = "token_ids", model: str = MODEL)
     """`df` plus decoded string; null ids give null. An input column decoded gives way to the result."""
     df = df.drop("decoded")
     names = df.columns
+    held = _shipped(df, model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = load(held.value)
         for b in batches:
             ids = b.column(names.index(ids_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else pieces.decode(x) for x in ids], pa.string())], [*names, "decoded"])
