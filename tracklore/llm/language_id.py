@@ -5,8 +5,9 @@ depends on where it comes from. Priors are smoothed along the hierarchy all > ad
 text and declaration are summed per level by grouped aggregation, and each level adds `weight` pseudo-rows drawn from
 the level above. A row's own posterior is left out of its prior.
 
-The trigram models are fitted on at most `per_language` rows of each language. Texts pass Python once and leave it as a
-few numbers, which are frozen; levels are joined with salt, so a hot host spreads over tasks.
+The trigram models are fitted on at most `per_language` rows of each language; their number has no bound, and the model
+takes 256 KiB a language. Texts pass Python once and leave it as a few numbers, which are frozen; levels are joined with
+salt, so a hot host spreads over tasks.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklore.llm.common import bounded_batches, frozen, salted_join, table
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 200
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>")
+_TAG_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_HIDDEN_END = {x: re.compile(f"</{x}", re.I) for x in ("script", "style")}
+_LANG = re.compile(r"\blang=[\"']?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_CONTENT = re.compile(r"\bcontent=[\"']?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_AROUND_EQUALS = re.compile(r"(?<=\s)\s+|\s(?==)|(?<==)\s")
 
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,36 +42,80 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def visible(page: str) -> tuple[str, str | None]:
-    """Text of an HTML page without markup, and the language it declares."""
-    said = _DECLARED.search(page) or _META.search(page)
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))), said and said[1].lower()
+    """Text of an HTML page without markup, and the language that its first html tag declares, else its first
+    content-language. One pass from left to right: a comment, script, style or tag that is not closed ends the text, a < that
+    begins none of them is text, and a tag ends at the next >."""
+    out: list[str] = []
+    declared = meta = None
+    at = 0
+    while (i := page.find("<", at)) >= 0:
+        out.append(page[at:i])
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3
+        else:
+            name = _TAG_NAME.match(page, i + 1)
+            if not name and page[i + 1 : i + 2] not in ("!", "?"):
+                out.append("<")
+                at = i + 1
+                continue
+            end = page.find(">", i + 1)
+            at = end + 1
+            kind = name[1].lower() if name else ""
+            if end >= 0 and page[i + 1] != "/":
+                if kind == "html" and declared is None:
+                    declared = _attribute(_LANG, page[i:end])
+                elif kind == "meta" and meta is None and "content-language" in page[i:end].lower():
+                    meta = _attribute(_CONTENT, page[i:end])
+                elif kind in _HIDDEN_END:
+                    close = _HIDDEN_END[kind].search(page, end)
+                    at = close.start() if close else len(page)
+        out.append(" ")
+        if end < 0:
+            at = len(page)
+    out.append(page[at:])
+    return html.unescape("".join(out)), declared or meta
+
+
+def _attribute(pattern: re.Pattern[str], tag: str) -> str | None:
+    found = pattern.search(_AROUND_EQUALS.sub("", tag))
+    return found and found[1].lower()
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of the buckets, from the first `per_language` rows of each in hash order."""
+    """Languages and log-probabilities of the buckets, from the first `per_language` rows of each in order of a hash of the
+    id. Rows without id, text or language are left out.
+
+    The sample is taken in one pass: the hash's least share that holds the wanted rows with near certainty is kept of each
+    language, and of that the first rows. Should it hold fewer, the sample is that much smaller."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    langs = sorted(r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).select(lang_col).collect())
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    picked = [rows.where(F.col(lang_col) == x).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(per_language) for x in langs]
-    ids = picked[0]
-    for p in picked[1:]:
-        ids = ids.unionByName(p)
-    sample = rows.join(F.broadcast(frozen(ids.distinct())), F.col(id_col) == F.col("_id")).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    enough = per_language + 8 * per_language**0.5 + 32
+    shares = spark.createDataFrame([(k, x, min(1.0, enough / sizes[x])) for k, x in enumerate(langs)], "k int, l string, share double")
+    u = F.xxhash64("i") / F.lit(2.0**64) + 0.5
+    few = rows.join(shares, "l").where(u <= F.col("share"))
+    first = Window.partitionBy("k").orderBy(F.xxhash64("i"), "i", "t")
+    sample = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("k", "t")
+    n = len(langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            own = np.array([langs.index(x) for x in b.column(0).to_pylist()])
-            for k in set(own.tolist()):
-                h, _ = buckets([t for t, o in zip(b.column(1).to_pylist(), own) if o == k])
-                total[k] += np.bincount(h, minlength=BUCKETS)
-        k, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], ["k", "at", "n"])
-
-    counts = np.full((BUCKETS, len(langs)), 0.05)
+            own = b.column(0).to_numpy()
+            texts = b.column(1).to_pylist()
+            for k in np.unique(own).tolist():
+                h, _ = buckets([texts[i] for i in np.flatnonzero(own == k)])
+                total[k] = total.get(k, 0) + np.bincount(h, minlength=BUCKETS)
+        for k, c in total.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["k", "at", "n"])
+
+    counts = np.full((BUCKETS, n), 0.05)
     got = sample.mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
     counts[got["at"], got["k"]] += got["n"]
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
@@ -139,7 +184,8 @@ def identify(
 
     Null or empty content is evidence for no language: the row gets its prior's best. A null host or suffix is a host
     or suffix named ''. Declared languages that no model has are ignored. Ties go to the first language in order.
-    Repeated rows count each. Without a model every language is null."""
+    Repeated rows count each. Very long texts and unclosed markup take time linear in their length. An empty table gives
+    no rows; further columns are ignored, whatever their names. Without a model every language is null."""
     out = []
     for kind, df, key, content, host, suffix, markup in parts:
         if not langs:
