@@ -109,7 +109,7 @@ def brute_fingerprint(text, n):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("block", [4096, 8, 20])
 def test_simhash_against_brute_force(spark, block, monkeypatch):
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
@@ -121,6 +121,8 @@ def test_simhash_against_brute_force(spark, block, monkeypatch):
     texts += [" ".join(f"v{rng.randint(0, 900)}" for _ in range(40)) for _ in range(40)] + ["", None, "One", "one", "a b c"] + texts[:3]
     near = simhash.near_links
     monkeypatch.setattr(simhash, "near_links", lambda *a: near(*a, block=block))
+    if block == 8:
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", 3)
     out = {r.doc_id: r for r in simhash.simhash_groups(docs(spark, texts)).collect()}
     fp = [brute_fingerprint(t, 4) for t in texts]
     root = list(range(len(texts)))
@@ -139,6 +141,43 @@ def test_simhash_against_brute_force(spark, block, monkeypatch):
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
 
 
+def test_links_of_a_run_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, held = int(rng.integers(2, 90)), int(rng.integers(1, 60))
+        held = min(held, n)
+        centres = rng.integers(0, 2**63, 3).astype(np.uint64)
+        flips = np.uint64(1) << rng.integers(0, 64, (n, int(rng.integers(1, 6)))).astype(np.uint64)
+        fp = (centres[rng.integers(0, 3, n)] ^ np.bitwise_xor.reduce(flips, axis=1))[:, None]
+        node = rng.permutation(n)
+        lab = np.arange(n)
+        a, b = np.nonzero(np.bitwise_count(fp ^ fp[:held].T) <= 4)
+        want = simhash._unite(lab, node[a], node[b])
+        u, v = simhash._links(fp, node, held, 4)
+        assert (simhash._unite(np.arange(n), u, v) == want).all()
+
+
+def test_stage_search_for_very_many_rows(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(t))
+        for k in rng.sample(range(200), 4):  # a similarity of about 0.82
+            t[k] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    few, many = simhash.stage_search(10), simhash.stage_search(1 << 30)
+    assert few != many
+    kept = {}
+    for name, search in (("few", few), ("many", many)):
+        monkeypatch.setattr(simhash, "stage_search", lambda rows, s=search: s)
+        kept[name] = sorted(r.doc_id for r in simhash.stage(spark, docs(spark, texts), "").collect())
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [i for i in range(0, 80, 2) if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1])]
+    want = sorted(set(range(80)) - {i + 1 for i in near})
+    assert len(near) > 20 and kept["few"] == want and kept["many"] == want
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]

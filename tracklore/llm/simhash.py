@@ -2,13 +2,14 @@
 
 A fingerprint is cut into segments. If two fingerprints differ in at most `max_bits` bits, some segment differs in at
 most `max_bits // segments` bits, so looking up a small Hamming ball around each segment value in a table keyed by
-(segment, value) finds every such pair; complete distances are then verified. For a ball of radius 1 only the values
-with one more bit set are looked up: the pair is found from its other side otherwise.
+(segment, value) finds every such pair; complete distances are then verified. Of a ball of radius 1 only the value itself
+and the values with one more bit set are looked up: the pair is found from its other side otherwise.
 
-Texts leave Python as one number each. Equal fingerprints are one node. Lookups and table rows meet in sorted runs; a
-run emits a spanning forest of its verified links, never all pairs, and a run above `block` rows is dealt in blocks to
-several tasks, each block pair being compared somewhere. Components come from alternating large-star and small-star
-rounds over frozen edges.
+Texts leave Python as one number each. Equal fingerprints are one node. Lookups and table rows meet in sorted runs, and a
+task emits a spanning forest of its verified links, never all pairs. Within a run rows are held against a few leaders
+first; rows that those unite are not compared with each other again. Of a run above `block` rows the rows near one leader
+are set apart first, and only what is left is dealt in blocks to several tasks, against itself and the others: a dense group
+costs its size, not its square. Components come from alternating large-star and small-star rounds over frozen edges.
 
 The pipeline's stage takes components as candidates only: what goes has the wanted Jaccard similarity with a row that stays.
 """
@@ -101,22 +102,52 @@ def _unite(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             lab = up
 
 
-def _links(held: np.ndarray, asked: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of a run that differ in at most max_bits bits, as pairs of different nodes."""
-    rows = np.concatenate((held, asked))
-    _, first, at = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 8 * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    nodes = node[first]
-    at_held, at_asked = at[: len(held)], at[len(held) :]
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest of its component in the graph of edges (u[i], v[i])."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    lab = _unite(np.arange(len(nodes)), at[: len(u)], at[len(u) :])
+    x = np.flatnonzero(lab != np.arange(len(lab)))
+    return nodes[x], nodes[lab[x]]
+
+
+LEADERS = 4
+
+
+def _links(fp: np.ndarray, node: np.ndarray, held: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a run that differ in at most max_bits bits, as pairs of nodes. The first `held` rows
+    are table rows; each row is held against each of them, but for pairs that leaders have united."""
+    nodes, at = np.unique(node, return_inverse=True)
     lab = np.arange(len(nodes))
-    step = max(1, (1 << 20) // len(held))
-    for k in range(0, len(asked), step):
-        far = sum(np.bitwise_count(asked[k : k + step, None, w] ^ held[None, :, w]).astype(np.int16) for w in range(rows.shape[1]))
-        q, t = np.nonzero(far <= max_bits)
-        lab = _unite(lab, at_asked[k + q], at_held[t])
+
+    def near(rows: np.ndarray, table: np.ndarray) -> None:
+        nonlocal lab
+        step = max(1, (1 << 20) // max(1, len(table)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            far = sum(np.bitwise_count(fp[part, None, w] ^ fp[None, table, w]).astype(np.int16) for w in range(fp.shape[1]))
+            q, t = np.nonzero(far <= max_bits)
+            lab = _unite(lab, at[part[q]], at[table[t]])
+
+    every, table = np.arange(len(fp)), np.arange(held)
+    leaders: list[int] = []
+    while len(leaders) < LEADERS:  # each is of a set that no leader before it is of
+        apart = table[~np.isin(lab[at[table]], lab[at[leaders]])]
+        if not len(apart):
+            break
+        leaders.append(int(apart[0]))
+        near(every, apart[:1])
+    own = lab[at]
+    big = np.bincount(own).argmax()
+    near(every[own != big], table)
+    near(every[own == big], table[own[:held] != big])
     x = np.flatnonzero(nodes != nodes[lab])
     return nodes[x], nodes[lab[x]]
 
 
+def _cuts(segments: int) -> list[int]:
+    return [BITS * i // segments for i in range(segments + 1)]
+
+
 def _segment_keys(word: str, lo: int, hi: int, tag: int) -> tuple[Column, Column]:
     """Key of bits [lo, hi) of a word, and the array of keys with one more bit set; tag tells segments apart."""
     value = F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
@@ -125,12 +156,15 @@ def _segment_keys(word: str, lo: int, hi: int, tag: int) -> tuple[Column, Column
     return value.bitwiseOR(F.lit(tag)), F.transform(clear, lambda m: value.bitwiseOR(m).bitwiseOR(F.lit(tag)))
 
 
-def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, radius: int, block: int = 4096) -> DataFrame:
-    """Edges (u, v) between the nodes of fingerprints, of which the links within max_bits that the search finds are the
-    closure. `segments` per word. With radius 1 complete for max_bits < 2 * segments * words; pairs further apart are
-    found if some segment differs in one bit at most, so those need a measured recall. Radius 0 only looks up equal
-    segments, radius 1 only those that differ in a bit: the first comes before the second. fps: distinct w0, w1, ... and the node of each; links inside a node are not returned."""
-    cuts = [BITS * i // segments for i in range(segments + 1)]
+#: Above so many hot keys they are joined by a shuffle instead of a broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block: int = 4096) -> DataFrame:
+    """Edges (u, v) between the nodes of fingerprints; the links within max_bits that the search finds are their closure.
+    `segments` per word. Complete for max_bits < 2 * segments * words; pairs further apart are found if some segment
+    differs in one bit at most, so those need a measured recall. fps: distinct w0, w1, ... and the node of each."""
+    cuts = _cuts(segments)
     names = [f"w{i}" for i in range(words)]
     table_keys, ball_keys = [], []
     for w in range(words):
@@ -138,46 +172,61 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, radius:
             key, ball = _segment_keys(names[w], lo, hi, (w * segments + i) << 40)
             table_keys.append(key)
             ball_keys.append(ball)
-    names = [*names, "node"]
-    held = fps.select(F.explode(F.array(*table_keys)).alias("key"), F.lit(0).alias("side"), *names)
-    asked = fps.select(F.explode(F.concat(*ball_keys) if radius else F.array(*table_keys)).alias("key"), F.lit(1).alias("side"), *names)
+    cols = [*names, "node"]
+    held = fps.select(F.explode(F.array(*table_keys)).alias("key"), F.lit(0).alias("side"), *cols)
+    asked = fps.select(F.explode(F.concat(*ball_keys)).alias("key"), F.lit(1).alias("side"), *cols)
     rows = held.unionByName(asked)
 
-    sizes = rows.groupBy("key").agg(F.sum(1 - F.col("side")).alias("t"), F.sum("side").alias("q")).where(F.col("t") > 0)
-    sizes = frozen(sizes.where((F.col("t") > block) | (F.col("q") > 4 * block)).select("key", F.ceil(F.col("t") / block).cast("int").alias("tp"), F.ceil(F.col("q") / (4 * block)).cast("int").alias("qp")))
-    if sizes.isEmpty():
-        rows = rows.withColumn("part", F.lit(0).cast("long"))
-    else:  # each block of held rows meets each block of lookups
-        rows = rows.join(sizes, "key", "left").withColumns({"tp": F.coalesce("tp", F.lit(1)), "qp": F.coalesce("qp", F.lit(1))})
-        h = F.xxhash64(*names)
-        rows = rows.withColumn("part", F.explode(F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("qp") - 1), lambda j: F.pmod(h, "tp") * F.col("qp") + j)).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("tp") - 1), lambda i: i.cast("long") * F.col("qp") + F.pmod(h, "qp"))))).select("key", "side", *names, "part")
+    # what a key holds, and what its neighbours with one bit less ask of it
+    t = held.groupBy("key").agg(F.count(F.lit(1)).alias("t"))
+    widths = F.array(*[F.lit(hi - lo) for lo, hi in zip(cuts, cuts[1:])])
+    width = F.element_at(widths, (F.shiftright("key", 40) % segments + 1).cast("int"))
+    above = F.filter(F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.expr("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))), lambda k: k != F.col("key"))
+    t = frozen(t)
+    q = t.where(F.col("t") > block // 64).select(F.explode(above).alias("key"), F.col("t").alias("q")).groupBy("key").agg(F.sum("q").alias("q"))  # others never ask too much
+    hot = frozen(t.join(q, "key", "left").where(f"t > {block} OR q > {4 * block}").select("key"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        rows, links = _deal(rows.join(hot, "key"), rows.join(hot, "key", "left_anti"), names, max_bits, block, n_hot)
+    else:
+        rows, links = rows.withColumn("part", F.lit(0).cast("long")), None
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            us, vs = [], []
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        n = 0
+
+        def search(key: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray) -> None:
+            nonlocal us, vs, n
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
             stop = np.append(edge[1:], len(fp))
             asks = np.concatenate(([0], np.cumsum(side)))
             q = asks[stop] - asks[edge]
             t = stop - edge - q
-            small = (t > 0) & (q > 0) & (t * q <= 4096)
-            if small.any():  # pairs of all small runs at once
-                e, tt, qq = edge[small], t[small], q[small]
-                n = tt * qq
-                run = np.repeat(np.arange(len(e)), n)
-                off = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                a, b = e[run] + off % tt[run], e[run] + tt[run] + off // tt[run]
-                ok = (node[a] != node[b]) & (np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int16) <= max_bits)
+            alive = (t > 0) & (t + q > 1)
+            small = alive & (t * (t + q) <= 4096)
+            count = np.where(small, t * (t + q), 0)
+            group = (np.cumsum(count) - count) >> 20  # pairs of all small runs at once, a million at a time
+            for g in np.unique(group[small]).tolist():
+                own = small & (group == g)
+                e, tt, k = edge[own], t[own], count[own]
+                run = np.repeat(np.arange(len(e)), k)
+                off = np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+                a, b = e[run] + off % tt[run], e[run] + off // tt[run]
+                open_ = node[a] != node[b]
+                a, b = a[open_], b[open_]
+                ok = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int16) <= max_bits
                 us.append(node[a[ok]])
                 vs.append(node[b[ok]])
-            for i in np.flatnonzero((t > 0) & (q > 0) & ~small):
-                u, v = _links(fp[edge[i] : edge[i] + t[i]], fp[edge[i] + t[i] : stop[i]], node[edge[i] : stop[i]], max_bits)
+                n += int(ok.sum())
+            for i in np.flatnonzero(alive & ~small):
+                u, v = _links(fp[edge[i] : stop[i]], node[edge[i] : stop[i]], int(t[i]), max_bits)
                 us.append(u)
                 vs.append(v)
-            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+                n += len(u)
+            if n > 1 << 20:
+                u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, n = [u], [v], 0
 
         kept: list[tuple[np.ndarray, ...]] = []
         for b in batches:
@@ -189,15 +238,45 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, radius:
             node = b.column(3 + words).to_numpy()
             last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                whole = [*kept, (key[:last], side[:last], fp[:last], node[:last])]
-                yield emit(*(np.concatenate(x) for x in zip(*whole)))
+                search(*(np.concatenate(x) for x in zip(*[*kept, (key[:last], side[:last], fp[:last], node[:last])])))
                 kept = []
             kept.append((key[last:], side[last:], fp[last:], node[last:]))
         if kept:
-            yield emit(*(np.concatenate(x) for x in zip(*kept)))
-
-    dealt = rows.select("key", "part", "side", *names).repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    return dealt.mapInArrow(runs, "u long, v long").distinct()
+            search(*(np.concatenate(x) for x in zip(*kept)))
+        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+        for k in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], ["u", "v"])
+
+    dealt = rows.select("key", "part", "side", *cols).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    found = dealt.mapInArrow(runs, "u long, v long")
+    return found if links is None else found.unionByName(links)
+
+
+def _deal(hot: DataFrame, rest: DataFrame, names: list[str], max_bits: int, block: int, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with part, links) of the rows of hot keys, and part 0 for the rest.
+
+    One table row of each hot key leads it. Rows near it are linked to it and go on as its node; they are held against far
+    table rows only, far rows against all. Each of these two tables meets its lookups in blocks."""
+    leader = hot.where("side = 0").groupBy("key").agg(F.min_by(F.struct(*names, "node"), F.struct(F.xxhash64("node"), "node")).alias("lead"))
+    if n_keys <= BROADCAST_KEYS:
+        hot = hot.join(F.broadcast(leader), "key")
+    else:
+        hot = salted_join(hot, leader, ["key"], F.xxhash64("node"))
+    far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"lead.{n}"))) for n in names), F.lit(0))
+    hot = hot.withColumn("near", far <= max_bits)
+    links = hot.where("near AND node <> lead.node").select(F.col("node").alias("u"), F.col("lead.node").alias("v"))
+    cols = [*names, F.when(F.col("near"), F.col("lead.node")).otherwise(F.col("node")).alias("node")]
+    held = hot.where("side = 0").select("key", F.when(F.col("near"), 2).otherwise(1).alias("sub"), "side", *cols, F.col("node").alias("own"))
+    asks = hot.select("key", F.explode(F.when(F.col("near"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("sub"), F.lit(1).alias("side"), *cols, F.col("node").alias("own"))
+    both = held.unionByName(asks)
+    sizes = both.groupBy("key", "sub").agg(F.sum(1 - F.col("side")).alias("t"), F.sum("side").alias("q")).where("t > 0 AND q > 0")
+    sizes = sizes.select("key", "sub", F.ceil(F.col("t") / block).alias("tp"), F.ceil(F.col("q") / (4 * block)).alias("qp"))
+    both = both.join(F.broadcast(sizes), ["key", "sub"]) if n_keys <= BROADCAST_KEYS else salted_join(both, sizes, ["key", "sub"], F.xxhash64("own"))
+    h = F.xxhash64("own", F.lit(1))
+    parts = F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("qp") - 1), lambda j: F.pmod(h, "tp") * F.col("qp") + j))
+    parts = parts.otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tp") - 1), lambda i: i * F.col("qp") + F.pmod(h, "qp")))
+    out = both.withColumn("part", F.explode(parts)).select("key", (F.col("part") * 3 + F.col("sub")).alias("part"), "side", *names, "node")
+    return out.unionByName(rest.select("key", F.lit(0).cast("long").alias("part"), "side", *names, "node")), links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,20 +285,18 @@ def components(edges: DataFrame) -> DataFrame:
         if large:
             near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            out = salted_join(near.where("v > u"), low, ["u"], F.xxhash64("v"), n=4).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:  # u > v on every edge now
-            low = e.groupBy("u").agg(F.min("v").alias("m"))
-            own = low.select("u", F.col("m").alias("v"))
-            out = salted_join(e, low, ["u"], F.xxhash64("v"), n=4).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+            return salted_join(near.where("v > u"), low, ["u"], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = e.groupBy("u").agg(F.min("v").alias("m"))  # u > v on every edge now
+        own = low.select("u", F.col("m").alias("v"))
+        out = salted_join(e, low, ["u"], F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
         return out.where("u <> v").distinct()
 
     cur = frozen(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+    while True:  # done when every node has one edge down or only edges up
+        ends = cur.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(cur.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        ends = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not ends.agg(F.max(F.greatest(F.col("down") - 1, F.col("down") * F.col("up")))).first()[0]:
             break
-        mark = now
         cur = frozen(star(star(cur, True), False))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -229,15 +306,18 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and wordless texts have fingerprint zero and link like any other. component_id is the smallest id of the
     component; rows with a null id take part, and get null only if no row of their component has an id. Repeated rows
-    and ties share a component. Extra columns are ignored, an empty table gives an empty result.
+    and ties share a component. Very long texts are hashed in parts, in time linear in their length. Extra columns are
+    ignored, whatever their names; an empty table gives an empty result.
+
+    With three segments a word, a table cell holds about one row in 2 ** 21; above that many distinct fingerprints the
+    comparisons per row grow with their number, some 35 a row for each 2 ** 21, which stays cheaper than the thousand
+    lookups a row of longer segments and balls of radius 2 up to some billions of rows.
     """
     names = [f"w{i}" for i in range(words)]
     rows = frozen(fingerprints(df, id_col, text_col, shingle, words))
     least = frozen(rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("rid").alias("node")))
-    # equal segments link most of a dense group at once; what is left to the ball are links between its components
-    for radius in (0, 1):
-        member = components(near_links(least.select(*names, "node"), words, max_bits, segments, radius)).withColumnRenamed("node", "_n")
-        least = frozen(least.join(member, F.col("node") == F.col("_n"), "left").withColumn("node", F.coalesce("root", "node")).select(*names, "least", "node"))
+    member = components(near_links(least.select(*names, "node"), words, max_bits, segments)).withColumnRenamed("node", "_n")
+    least = frozen(least.join(member, F.col("node") == F.col("_n"), "left").withColumn("node", F.coalesce("root", "node")).select(*names, "least", "node"))
     root = least.withColumnRenamed("node", "root")
     best = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = salted_join(root, best, ["root"], F.xxhash64(*names)).select(*names, "component_id")
@@ -250,9 +330,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-#: The stage's candidates: three words, so that a Jaccard similarity of 0.8 on five-word shingles (0.15 of the bits differ,
-#: 29 of 192) is well within 42 bits. The search is complete to 23 bits; README has the measured recall beyond.
-STAGE = {"shingle": 5, "words": 3, "max_bits": 42, "segments": 4}
+def stage_search(rows: int) -> dict[str, int]:
+    """The stage's search for candidates. A Jaccard similarity of 0.8 on five-word shingles is 0.15 of the bits, well within
+    7 of 32. Segments get longer with the number of rows, and as many words are taken as give a pair at 0.15 a chance of
+    0.97 that some segment differs in one bit at most; README has the measured recall."""
+    if rows <= 1 << 22:
+        return {"shingle": 5, "words": 3, "max_bits": 42, "segments": 4}
+    return {"shingle": 5, "words": 7, "max_bits": 98, "segments": 3}
+
+
 SIMILAR = 0.8
 
 
@@ -321,7 +407,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those with a five-word-shingle similarity of 0.8 or more with one that stays, found by SimHash;
     of near-duplicates the smallest id stays. Rows without an id stay, repeated rows stay or go together."""
     docs, back = set_aside(docs, (), ("doc_id", "text"))
-    gone = near_copies(docs, "doc_id", "text", **STAGE).select(F.col("id").alias("_id"), F.col("k").alias("_k"))
+    gone = near_copies(docs, "doc_id", "text", **stage_search(docs.count())).select(F.col("id").alias("_id"), F.col("k").alias("_k"))
     own = F.col("doc_id").cast("long")
     keyed = docs.withColumns({"_id": own, "_k": F.xxhash64(own, F.col("text").isNull(), F.col("text"))})
     return back(keyed.join(gone, ["_id", "_k"], "left_anti").select(*docs.columns))
