@@ -56,14 +56,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
     rows = df.select(key.alias("_key"), F.col(text_col).alias("_t")).where("_key IS NOT NULL")
     hashes = F.transform("_chunks", lambda c: F.when(c.rlike(TWO_LINES), F.xxhash64(c)))
-    places = frozen(_chunked(rows, "_t", every).select("_key", hashes.alias("hs")).select("_key", F.posexplode("hs").alias("k", "h")).where("h IS NOT NULL"))
+    places = frozen(_chunked(rows, "_t", every).select("_key", hashes.alias("hs"))).select("_key", F.posexplode("hs").alias("k", "h")).where("h IS NOT NULL")
     hot = hot_keys(places, "h")
     twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     listed = hot_join(places, twice, "h", hot, F.xxhash64("_key")).groupBy("_key").agg(F.collect_set("k").alias("_ks"))  # some of a text's own chunks
 
     # only texts with a candidate are cut into chunks again, and only candidates leave them
     wanted = let("_chunks", lambda c: F.transform("_ks", lambda k: F.struct(k.alias("k"), F.element_at(c, k + 1).alias("c"))))
-    chosen = _chunked(rows.join(listed, "_key"), "_t", every).select("_key", F.inline(wanted)).withColumn("h", F.xxhash64("c"))
+    chosen = _chunked(rows.join(listed, "_key"), "_t", every).select("_key", F.inline_outer(wanted)).withColumn("h", F.xxhash64("c"))
     at = F.struct("_key", "k")
     first = chosen.groupBy("h", "c").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", F.col("c").alias("same"), "first")
     copies = hot_join(chosen, first, "h", hot, F.xxhash64("_key"), F.col("c") == F.col("same")).where(at != F.col("first"))
