@@ -107,15 +107,18 @@ def test_split_rule_matches_big_integers(spark):
 
 
 def test_candidate_choice():
+    def choose(traj, won, norm, fam, length, others):
+        got = list(candidates.run_sets(candidates.Run(traj, won, norm, fam), [length], [candidates.Run(t, w, n, f) for t, w, n, f in others], 4, 0, 0.5, "s"))
+        return got[0][1:] if got else None
+
     runs = {"B": (True, ["ls", "edit a", "pytest"]), "C": (False, ["ls", "rm x", "pytest"]), "D": (False, ["ls", "edit a", "pytest"])}
     others = [(t, w, n, n) for t, (w, n) in runs.items()]
-    got = candidates.choose("A", True, ["ls", "fix y", "submit"], ["ls", "fix y", "submit"], 1, others, 4, 0, 0.5, "s")
-    options, correct, tier, sim = got
+    options, correct, tier, sim = choose("A", True, ["ls", "fix y", "submit"], ["ls", "fix y", "submit"], 1, others)
     assert options[correct][:2] == ("fix y", "A") and {o[0] for o in options} == {"fix y", "rm x"} and tier == "branching" and sim == 1.0
-    assert candidates.choose("A", True, ["ls"], ["ls"], 1, others, 4, 0, 0.5, "s") is None
-    assert candidates.choose("A", False, ["ls", "zz", "q"], ["ls"] * 3, 1, [("B", True, ["ls", "zz"], ["ls", "zz"])], 4, 0, 0.5, "s") is None  # ambiguous
-    assert candidates.choose("A", False, ["ls", "zz", "q"], ["ls"] * 3, 1, [("C", False, ["ls", "k"], ["ls", "k"])], 4, 0, 0.5, "s") is None  # no success
-    assert candidates.choose("A", True, ["ls", "submit"], ["ls"] * 2, 1, [("C", False, ["ls", "k"], ["ls", "k"])], 4, 0, 0.5, "s") is None  # finish against others
+    assert choose("A", True, ["ls"], ["ls"], 1, others) is None
+    assert choose("A", False, ["ls", "zz", "q"], ["ls"] * 3, 1, [("B", True, ["ls", "zz"], ["ls", "zz"])]) is None  # ambiguous
+    assert choose("A", False, ["ls", "zz", "q"], ["ls"] * 3, 1, [("C", False, ["ls", "k"], ["ls", "k"])]) is None  # no success
+    assert choose("A", True, ["ls", "submit"], ["ls"] * 2, 1, [("C", False, ["ls", "k"], ["ls", "k"])]) is None  # finish against others
 
 
 MSG = "role string, text string, system_prompt string, mask boolean, cutoff_date string"
@@ -198,7 +201,7 @@ def test_best_of_n_draws_from_all_runs(spark):
     rng = random.Random(6)
     rows = [(i, "hot" if i < 400 else f"t{i % 9}", i % 5 == 0, rng.random()) for i in range(450)]
     d = spark.createDataFrame(rows, "run long, task_id string, outcome boolean, p double")
-    order = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("draw")).withColumn("h", F.xxhash64(F.lit("0"), "task_id", "draw", "run")).collect()
+    order = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("draw")).withColumn("h", F.sha1(F.concat_ws(":", F.lit("0"), "task_id", "draw", "run"))).collect()
     groups = {}
     for r in order:
         groups.setdefault((r.task_id, r.draw), []).append((r.h, r.p, float(r.outcome)))
@@ -213,6 +216,10 @@ def test_best_of_n_draws_from_all_runs(spark):
 def test_registered_simulations_have_full_settings(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_points", lambda *a: spark.range(2).withColumnRenamed("id", "run"))
     monkeypatch.setattr(simulate, "latest_scores", lambda d: d)
-    monkeypatch.setattr(simulate, "best_of_n", lambda d, draws=200: draws)
-    monkeypatch.setattr(simulate, "policy_operating_points", lambda dev, test, grid: grid.count())
-    assert catalog.best_of_n(spark, "") == 200 and catalog.policy_operating_points(spark, "") == 97
+    seen = {}
+    points, best = simulate.policy_operating_points, simulate.best_of_n
+    assert best.__defaults__[1] == 200
+    monkeypatch.setattr(simulate, "best_of_n", lambda d, draws=200: seen.update(draws=draws) or spark.createDataFrame([(1, 0.5, 0.5, 1)], "n int, model double, random double, groups long"))
+    monkeypatch.setattr(simulate, "policy_operating_points", lambda dev, test, grid: seen.update(grid=grid) or spark.range(1))
+    catalog.best_of_n(spark, ""), catalog.policy_operating_points(spark, "")
+    assert seen["draws"] == 200 and len(seen["grid"]) == 97 and points.__defaults__ is not None

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def most_common(arr: Column) -> Column:
     """struct(n, value) of the most frequent element, the first seen of several; null for an empty array."""
-    counted = F.transform(F.array_distinct(arr), lambda x: F.struct(F.size(F.filter(arr, lambda y: y == x)).alias("n"), (-F.array_position(arr, x)).alias("at"), x.alias("value")))
-    return F.array_max(counted)
+    def counted(arr: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(arr), lambda x: F.struct(F.size(F.filter(arr, lambda y: y == x)).alias("n"), (-F.array_position(arr, x)).alias("at"), x.alias("value"))))
+
+    return F.element_at(F.transform(F.array(arr), counted), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -253,6 +253,15 @@ def last_visible_action(state: Text) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(tail, F.lit(r"(?md)^\$ (\S+)"), F.lit(1)), F.lit(-1)), F.lit(""))
 
 
-def tool_observation(output: Text, code: Text) -> Column:
-    """Output of a command with its exit code where that is not 0."""
-    return F.when(_c(code) != 0, F.concat(F.coalesce(_c(output), F.lit("")), F.lit("\n[exit code "), _c(code).cast("string"), F.lit("]"))).otherwise(F.coalesce(_c(output), F.lit("")))
+def tool_command(action: Text) -> Column:
+    """The command of an action given as JSON with a command, else the action itself; empty for an object without one."""
+    a = _c(action)
+    return F.when(a.rlike(r"(?s)\A\s*\{.*\}\s*\z") & F.try_parse_json(a).isNotNull(), F.coalesce(F.get_json_object(a, "$.command"), F.lit(""))).otherwise(a)
+
+
+def tool_observation(output: Text, code: Text, exception: Text | None = None) -> Column:
+    """Output of a command, the exception under it if there is one, and its exit code where that is not 0."""
+    text = F.coalesce(_c(output), F.lit(""))
+    if exception is not None:
+        text = F.when(F.coalesce(_c(exception), F.lit("")) != "", strip(F.concat(text, F.lit("\n"), _c(exception)))).otherwise(text)
+    return F.when(_c(code) != 0, F.concat(text, F.lit("\n[exit "), _c(code).cast("string"), F.lit("]"))).otherwise(text)

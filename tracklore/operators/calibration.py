@@ -28,7 +28,7 @@ def fit_temperatures(df: DataFrame, by: str, p: str = "p", label: str = "label",
         kind = rows.schema["g"].dataType.simpleString()
         t = spark.createDataFrame([(g, x) for g, xs in grid.items() for x in [xs]], f"g {kind}, ts array<double>")
         cost = F.transform("ts", lambda x: _nll_at("z", "y", x))
-        d = rows.join(F.broadcast(t), "g")
+        d = rows.join(t, "g")
         got = d.groupBy("g").agg(F.array(*[F.avg(F.element_at(cost, i + 1)) for i in range(points)]).alias("c")).collect()
         for r in got:
             i = int(np.argmin(r.c))
@@ -49,7 +49,7 @@ def _nll_at(z: str, y: str, t):
 def apply_temperatures(df: DataFrame, temps: DataFrame, by: str, p: str = "p", to: str = "calibrated") -> DataFrame:
     """Adds the tempered probabilities; groups without a temperature stay as they are. Raw ones are kept, so nothing is
     tempered twice."""
-    out = df.join(F.broadcast(temps.select(by, F.col("temperature").alias("_t"))), by, "left")
+    out = df.join(temps.select(by, F.col("temperature").alias("_t")), by, "left")
     return out.withColumn(to, temper(F.col(p), F.coalesce("_t", F.lit(1.0)))).drop("_t")
 
 

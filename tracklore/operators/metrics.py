@@ -1,7 +1,8 @@
 """Ranking, calibration and operating-point aggregates over scored rows.
 
 Each takes a table with a 0/1 label and a probability and groups by `by` (none: one row for all), so many questions or
-slices are one job. Ranks come from counts per distinct score: ties are exact, and the window runs over distinct scores.
+slices are one job. Ranks come from counts per distinct score, so ties are exact, and running sums over them are taken in
+ranges of scores, see `running`: no task holds all of them.
 """
 
 from __future__ import annotations
@@ -10,24 +11,51 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklore.functions.arrays import argmax, expected_level, total
+from tracklore.functions.arrays import argmax, expected_level, sigma_hash, total
 
 
 def _by(by: list[str] | None) -> list[str]:
     return list(by or [])
 
 
+RANGES = 256
+
+
+def running(df: DataFrame, by: list[str], order: str, values: list[str], falling: bool = False) -> DataFrame:
+    """Adds upto_<value> for each value: its sum over the group's rows up to this one in order. `order` has distinct values
+    in a group.
+
+    Rows are dealt by quantiles of `order` (a list of fixed size on the driver); sums of whole ranges are added to sums
+    within a range."""
+    ends = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    ends = [e for e in ends if math.isfinite(e)]
+    df = df.withColumn("_o", F.col(order).cast("double"))
+    if ends:
+        df = Bucketizer(splits=[-math.inf, *ends, math.inf], inputCol="_o", outputCol="_range", handleInvalid="keep").transform(df)
+    else:
+        df = df.withColumn("_range", F.lit(0.0))
+    turn = F.desc if falling else F.asc
+    sums = df.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_from_{v}") for v in values])
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    w = Window.partitionBy(*by, "_range").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"_in_{v}": F.sum(v).over(w) for v in values}).join(sums, same)
+    return out.withColumns({f"upto_{v}": F.col(f"_from_{v}") + F.col(f"_in_{v}") for v in values}).drop("_o", "_range", "_at", *[f"_by{i}" for i in range(len(by))], *[f"_{x}_{v}" for v in values for x in ("from", "in")])
+
+
 def auroc(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties half; null if a class is missing."""
     by = _by(by)
     c = df.groupBy(*by, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") * F.lit(0.5)))
-    return c.groupBy(*by).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("auroc"))
+    won = F.sum(F.col("pos") * (F.col("upto_neg") - F.col("neg") * F.lit(0.5)))
+    return running(c, by, "_p", ["neg"]).groupBy(*by).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("auroc"))
 
 
 def brier(y: Column, p: Column) -> Column:
@@ -76,18 +104,20 @@ def recall_at_fpr(df: DataFrame, y_fail: str, score: str, fpr: float, by: list[s
     by = _by(by)
     s, y = F.col(score), F.col(y_fail)
     c = df.groupBy(*by, s.alias("_s")).agg(F.sum(1 - y.cast("long")).alias("ok"), F.sum(y.cast("long")).alias("bad"))
-    w = Window.partitionBy(*by)
-    c = c.withColumns({"upto": F.sum("ok").over(w.orderBy(F.desc("_s"))), "n_ok": F.sum("ok").over(w)})
-    k = F.floor(F.lit(fpr) * F.col("n_ok"))
-    hit = (F.col("ok") > 0) & (F.col("upto") >= k + 1)
-    thr = F.when(k >= F.col("n_ok"), F.lit(-math.inf)).otherwise(F.max(F.when(hit, F.col("_s"))).over(w))
-    c = c.withColumn("thr", F.when(F.col("n_ok") > 0, thr))
-    over = F.col("_s") > F.col("thr")
-    tp, fired, n = F.sum(F.when(over, F.col("bad")).otherwise(0)), F.sum(F.when(over, F.col("bad") + F.col("ok")).otherwise(0)), F.sum(F.col("bad") + F.col("ok"))
-    known = F.max("n_ok") > 0
-    return c.groupBy(*by).agg(
-        F.when(known, tp / F.greatest(F.lit(1), F.sum("bad"))).alias("recall"), F.when(known, tp / F.greatest(F.lit(1), fired)).alias("precision"), F.when(known, fired / n).alias("fired"), F.max("thr").alias("threshold")
-    )
+    c = running(c, by, "_s", ["ok", "bad"], falling=True)
+    # rows come from the highest score down: the threshold is the first that would flag one success too many
+    total = c.groupBy(*by).agg(F.sum("ok").alias("n_ok"), F.sum("bad").alias("n_bad")).withColumn("k", F.floor(F.lit(fpr) * F.col("n_ok")))
+    one = [] if by else ["_one"]  # without groups all rows meet the one row of totals
+    c = c.withColumns(dict.fromkeys(one, F.lit(1))).join(total.withColumns(dict.fromkeys(one, F.lit(1))), by or one)
+    first = F.max_by(F.struct("_s", (F.col("upto_ok") - F.col("ok")).alias("ok"), (F.col("upto_bad") - F.col("bad")).alias("bad")), F.when((F.col("ok") > 0) & (F.col("upto_ok") >= F.col("k") + 1), F.col("_s")))
+    d = c.groupBy(*by).agg(first.alias("t"), *[F.max(x).alias(x) for x in ("n_ok", "n_bad", "k")])
+    whole = F.col("k") >= F.col("n_ok")  # the budget covers all successes
+    known = F.col("n_ok") > 0
+    tp, fp = F.when(whole, F.col("n_bad")).otherwise(F.col("t.bad")), F.when(whole, F.col("n_ok")).otherwise(F.col("t.ok"))
+    return d.select(
+        *by, F.when(known, tp / F.greatest(F.lit(1), "n_bad")).alias("recall"), F.when(known, tp / F.greatest(F.lit(1), tp + fp)).alias("precision"), F.when(known, (tp + fp) / (F.col("n_ok") + F.col("n_bad"))).alias("fired"),
+        F.when(known, F.when(whole, F.lit(-math.inf)).otherwise(F.col("t._s"))).alias("threshold"),
+    )
 
 
 def binary_report(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
@@ -130,8 +160,9 @@ def selective_report(df: DataFrame, y: str, p: str, coverages: tuple[float, ...]
     coverage within each error rate. Rows of equal certainty enter together."""
     d = df.select(F.array_max(p).alias("c"), (argmax(F.col(p)) != F.col(y)).cast("long").alias("e"))
     c = d.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("e").alias("e"))
-    w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"n": F.sum("k").over(w), "bad": F.sum("e").over(w), "all": F.sum("k").over(Window.partitionBy())})
+    c = running(c, [], "c", ["k", "e"], falling=True).withColumnsRenamed({"upto_k": "n", "upto_e": "bad"})
+    total = d.agg(F.count(F.lit(1)).alias("all")).withColumn("_one", F.lit(1))
+    c = c.withColumn("_one", F.lit(1)).join(total, "_one")
     rate = F.col("bad") / F.col("n")
     return c.agg(
         (F.sum(rate * F.col("k")) / F.max("all")).alias("aurc"), *[(1 - F.min_by(rate, F.when(F.col("n") >= q * F.col("all"), F.col("n")))).alias(f"accuracy_at_{round(q * 100)}") for q in coverages],
@@ -139,16 +170,25 @@ def selective_report(df: DataFrame, y: str, p: str, coverages: tuple[float, ...]
     )
 
 
-def grouped_bootstrap(df: DataFrame, group: str, y: str, p: str, stat: str = "auroc", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, parts: int = 32, most_rows: int = 5_000_000) -> DataFrame:
+def grouped_bootstrap(df: DataFrame, group: str, y: str, p: str, stat: str = "auroc", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, parts: int = 32, most_rows: int = 200_000) -> DataFrame:
     """One row: point, lo, hi of `stat` (auroc or mean of p) when whole groups are drawn with replacement.
 
-    A replicate is a weighted statistic over (group, y, p) counts, so the broadcast table has one row per distinct
-    triple; replicates run in parallel and depend only on the seed and their number. Replicates without a value are
-    dropped. The table is checked: more than `most_rows` raises instead of being broadcast."""
-    spark = df.sparkSession
+    A replicate is a weighted statistic over (group, y, p) counts, one row per distinct triple. Up to `most_rows` of them
+    are broadcast, and each replicate draws as many groups as there are. Beyond, rows are dealt to replicates with the
+    Poisson weight that a hash of replicate and group gives, which needs no table on any one machine. Replicates depend
+    only on the seed and their number; those without a value are dropped."""
     table = df.groupBy(F.col(group).cast("string").alias("g"), F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    if table.count() > most_rows:
-        raise ValueError("too many distinct rows to broadcast; group or round the scores")
+    reps = _drawn(table, stat, n_boot, seed, parts) if table.count() <= most_rows else _dealt(table, stat, n_boot, seed)
+    vals = F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.col("v"))))  # n_boot numbers
+    r = reps.where("NOT isnan(v)").agg(F.max(F.when(F.col("id") < 0, F.col("v"))).alias("point"), vals.alias("s"))
+    m = F.size("s")
+    pick = lambda q: F.try_element_at(F.col("s"), F.least(m, F.floor(F.lit(q) * m).cast("int") + 1))
+    return r.select("point", pick(alpha / 2).alias("lo"), pick(1 - alpha / 2).alias("hi"))
+
+
+def _drawn(table: DataFrame, stat: str, n_boot: int, seed: int, parts: int) -> DataFrame:
+    """(id, v) of the replicates, and of the rows as they are under id -1."""
+    spark = table.sparkSession
     t = table.orderBy("g", "p", "y").toPandas()
     held = spark.sparkContext.broadcast((pd.factorize(t["g"])[0], t["y"].to_numpy(), t["p"].to_numpy(), t["n"].to_numpy()))
 
@@ -175,9 +215,19 @@ def grouped_bootstrap(df: DataFrame, group: str, y: str, p: str, stat: str = "au
                 out.append(value(w, ys, ps))
             yield pd.DataFrame({"id": b["id"], "v": out})
 
-    reps = spark.range(-1, n_boot, 1, parts).mapInPandas(run, "id long, v double").where("NOT isnan(v)")
-    vals = F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.col("v"))))  # n_boot numbers
-    r = reps.agg(F.max(F.when(F.col("id") < 0, F.col("v"))).alias("point"), vals.alias("s"))
-    m = F.size("s")
-    pick = lambda q: F.try_element_at(F.col("s"), F.least(m, F.floor(F.lit(q) * m).cast("int") + 1))
-    return r.select("point", pick(alpha / 2).alias("lo"), pick(1 - alpha / 2).alias("hi"))
+    return spark.range(-1, n_boot, 1, parts).mapInPandas(run, "id long, v double")
+
+
+#: Chances of a Poisson weight of mean 1 to be above 0, 1, 2, ...
+POISSON = [1 - sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def _dealt(table: DataFrame, stat: str, n_boot: int, seed: int) -> DataFrame:
+    u = sigma_hash(str(seed), F.col("id"), F.col("g"))
+    weight = sum((F.when(u < c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    rows = table.withColumn("id", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1)))).withColumn("w", F.when(F.col("id") < 0, 1).otherwise(weight) * F.col("n")).where("w > 0")
+    if stat == "mean":
+        return rows.groupBy("id").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("v"))
+    c = rows.groupBy("id", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
+    won = F.sum(F.col("pos") * (F.col("upto_neg") - F.col("neg") * F.lit(0.5)))
+    return running(c, ["id"], "p", ["neg"]).groupBy("id").agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("v"))

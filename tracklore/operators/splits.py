@@ -7,6 +7,8 @@ agrees with other libraries' seeded generators in distribution, not row by row.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +29,8 @@ def content_hash(with_steps: bool = True) -> Column:
 
 
 def dedup_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order. Only the least order value travels with a key: rows are aggregated,
-    not sorted, so a hot key costs one row per task."""
+    """The first row of each key in the given order. Rows are aggregated before they travel, not sorted: a task sends one whole
+    row of each key, so a hot key costs one row per task."""
     names = df.columns
     best = F.min_by(F.struct(*names), F.struct(*order))
     return df.groupBy(key.alias("_key")).agg(best.alias("_row")).select("_row.*")
@@ -128,27 +130,53 @@ def pair_outcomes(df: DataFrame, window: float = 0.1, seed: str = SEED) -> DataF
     """Adds pair_id: each success takes the nearest unused failure of its (task, policy) within the window of run shares.
 
     Successes choose in hash order; of failures equally near, the first in hash order. The matching is sequential within
-    a group, so it runs per group in Python; a group is the runs of one policy on one task. Rows with neither partner nor
-    group have null. df: id, task_id, policy_model, outcome, prefix_frac."""
+    a group, so it runs per group in Python; a group is the runs of one policy on one task, of which five narrow columns
+    travel. Free failures are kept by share; those used up are skipped by pointers, so a group costs its size times a
+    logarithm. Rows with neither partner nor group have null. df: id, task_id, policy_model, outcome, prefix_frac."""
     cols = df.select("id", "task_id", "policy_model", "outcome", "prefix_frac")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.assign(h=[hashlib.sha1(f"{seed}:{i}".encode()).hexdigest()[:13] for i in pdf["id"]]).sort_values(["h", "id"])
-        won, lost = order[order["outcome"]], order[~order["outcome"]]
-        free = list(zip(lost["id"], lost["prefix_frac"]))
-        out = []
-        for i, f in zip(won["id"], won["prefix_frac"]):
-            near = [(abs(g - f), k) for k, (_, g) in enumerate(free) if abs(g - f) <= window]
-            if near:
-                j, _ = free.pop(min(near)[1])
-                pair = hashlib.sha1(f"{i}|{j}".encode()).hexdigest()[:16]
-                out += [(i, pair), (j, pair)]
-        return pd.DataFrame(out, columns=["id", "pair_id"])
+        return pd.DataFrame(nearest_pairs(pdf["id"].tolist(), pdf["outcome"].tolist(), pdf["prefix_frac"].tolist(), window, seed), columns=["id", "pair_id"])
 
     pairs = cols.groupBy("task_id", "policy_model").applyInPandas(match, "id string, pair_id string")
     return df.join(pairs, "id", "left")
 
 
+def nearest_pairs(ids: list[str], won: list[bool], fracs: list[float], window: float, seed: str) -> list[tuple[str, str]]:
+    """(id, pair id) of both sides of each pair of a group."""
+    order = sorted(range(len(ids)), key=lambda i: (hashlib.sha1(f"{seed}:{ids[i]}".encode()).hexdigest()[:13], ids[i]))
+    free: dict[float, deque[tuple[int, str]]] = {}
+    for turn, i in enumerate(order):
+        if not won[i]:
+            free.setdefault(fracs[i], deque()).append((turn, ids[i]))
+    shares = sorted(free)
+    ups, downs = list(range(len(shares) + 1)), list(range(len(shares) + 1))  # the next share with a free failure; downs from 1
+
+    def follow(link: list[int], k: int) -> int:
+        end = k
+        while link[end] != end:
+            end = link[end]
+        while link[k] != end:
+            link[k], k = end, link[k]
+        return end
+
+    out = []
+    for i in order:
+        if not won[i]:
+            continue
+        at = bisect_left(shares, fracs[i])
+        up, down = follow(ups, at), follow(downs, at) - 1
+        near = [(abs(shares[k] - fracs[i]), free[shares[k]][0][0], k) for k in (up, down) if 0 <= k < len(shares) and abs(shares[k] - fracs[i]) <= window]
+        if near:
+            k = min(near)[2]
+            _, other = free[shares[k]].popleft()
+            if not free[shares[k]]:
+                ups[k], downs[k + 1] = k + 1, k
+            pair = hashlib.sha1(f"{ids[i]}|{other}".encode()).hexdigest()[:16]
+            out += [(ids[i], pair), (other, pair)]
+    return out
+
+
 def pair_order(seed: str = SEED) -> list[Column]:
     """Sort key that shuffles records but leaves the two of a pair next to each other."""
     unit = F.coalesce(F.col("pair_id"), F.col("id"))

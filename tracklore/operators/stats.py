@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklore.operators.metrics import running
+
 
 def task_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("outcome").cast("int")).alias("n_success"))
@@ -49,11 +51,11 @@ def label_histogram(df: DataFrame, labels: list[str]) -> DataFrame:
 def rank_percentiles(df: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """One row: the value at index int(p * n) of the sorted values for each p, and the largest.
 
-    Exact without a global sort on one task: counts per value first, then a running total over the distinct values."""
+    Exact without a global sort on one task: counts per value first, then running sums over ranges of values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    pick = [F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("n")), F.col("v"))).alias(f"p{round(p * 100)}") for p in ps]
+    total = counts.agg(F.sum("c").alias("n")).withColumn("_one", F.lit(1))
+    run = running(counts, [], "v", ["c"]).withColumn("_one", F.lit(1)).join(total, "_one")
+    pick = [F.min(F.when(F.col("upto_c") > F.floor(F.lit(p) * F.col("n")), F.col("v"))).alias(f"p{round(p * 100)}") for p in ps]
     return run.agg(*pick, F.max("v").alias("max"))
 
 

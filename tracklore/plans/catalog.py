@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracklore.functions import arrays as A
 from tracklore.functions import text as X
-from tracklore.operators import calibration, candidates, features, labels, losses, metrics, scoring, simulate, splits, state, stats
+from tracklore.operators import calibration, candidates, evaluation, features, labels, losses, metrics, scoring, simulate, splits, state, stats
 from tracklore.plans import base as B
+from tracklore.session import shared_folder
 from tracklore.sources import convert, schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,7 +303,7 @@ def row_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.split_valid(d)[1].select("violations", "o_orderkey")
 
 
-@query("views")
+@query("views", f"SELECT run, 'Great, this works! The fix is complete and all tests pass now.' AS last_thought, CAST(count(*) - 1 AS INTEGER) AS silent FROM ({OS}) GROUP BY run")
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thoughts-removed and the misleading view side by side."""
     d = B.order_runs(spark, sf_dir)
@@ -326,8 +327,8 @@ cyc AS (SELECT run, L, fam, count(*) AS n, min(j) AS f FROM p WHERE edit AND bad
 r3 AS (SELECT run, L, 'edit cycle x' || n || ': ' || fam AS r FROM cyc WHERE n >= 3)
 SELECT s.run, CAST(s.i AS INTEGER) AS prefix_len, concat_ws('; ', r1.r, r2.r, r3.r) AS reasons FROM s LEFT JOIN r1 ON r1.run = s.run AND r1.L = s.i LEFT JOIN r2 ON r2.run = s.run AND r2.L = s.i LEFT JOIN r3 ON r3.run = s.run AND r3.L = s.i""")
 def stuck_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = labels.derive(B.event_runs(spark, sf_dir)).select("run", "sig", F.explode(F.sequence(F.lit(1), F.size("sig"))).alias("prefix_len"))
-    return d.select("run", "prefix_len", F.array_join(labels.stuck(F.col("sig"), F.col("prefix_len")), "; ").alias("reasons"))
+    d = labels.all_prefixes(labels.derive(B.event_runs(spark, sf_dir)), labels.stuck, "reasons", "run")
+    return d.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query("progress_rule", EV + """, q AS (SELECT *, lag(norm) OVER w AS pn, lag(err) OVER w AS pe, last_value(passed IGNORE NULLS) OVER b AS pp, last_value(failed IGNORE NULLS) OVER b AS pf, count(*) FILTER (norm LIKE 'open%') OVER b AS opened
@@ -339,8 +340,8 @@ r AS (SELECT run, i, CASE WHEN passed IS NOT NULL AND pp IS NOT NULL AND failed
  WHEN err IS NOT NULL AND err = pe THEN '0same error as previous step' WHEN err IS NOT NULL THEN '1command errored' ELSE '1no signal' END AS x FROM q)
 SELECT run, CAST(i AS INTEGER) AS prefix_len, CAST(substr(x, 1, 1) AS INTEGER) AS progress, substr(x, 2) AS reason FROM r""")
 def progress_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = labels.derive(B.event_runs(spark, sf_dir)).select("run", "sig", F.explode(F.sequence(F.lit(1), F.size("sig"))).alias("prefix_len"))
-    return d.withColumn("x", labels.progress(F.col("sig"), F.col("prefix_len"))).select("run", "prefix_len", F.col("x.value").alias("progress"), F.col("x.reason").alias("reason"))
+    d = labels.all_prefixes(labels.derive(B.event_runs(spark, sf_dir)), labels.progress, "x", "run")
+    return d.select("run", "prefix_len", F.col("x.value").alias("progress"), F.col("x.reason").alias("reason"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,10 +350,41 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_prefixes(d.withColumn("id", F.concat_ws("@", "traj_id", "prefix_len")))
 
 
-@query("prefix_records")
+#: Signals of the steps of both kinds of runs, and the rule labels of every prefix, in SQL.
+SIG = """WITH st AS ({steps}), x AS (SELECT *, trim(regexp_replace(action, '\\s+', ' ', 'g')) AS norm, regexp_extract_all(action, '(?:/[\\w.\\-]+)+|[\\w.\\-]+\\.(?:py|md)\\b') AS ps FROM st),
+y AS (SELECT *, CASE WHEN split_part(norm, ' ', 1) = 'str_replace_editor' THEN split_part(norm, ' ', 1) || ' ' || split_part(norm, ' ', 2) ELSE split_part(norm, ' ', 1) END AS head, array_to_string(list_sort(list_distinct(ps)), ' ') AS paths FROM x),
+s AS (SELECT run, i, norm, regexp_replace(trim(head || ' ' || paths), '\\b\\d+\\b', '#', 'g') || CASE WHEN norm LIKE 'edit %' THEN ' L' || CAST(CAST(regexp_extract(norm, '^edit (\\d+)', 1) AS BIGINT) // 10 AS VARCHAR) ELSE '' END AS fam,
+ CASE WHEN observation LIKE '%ValueError%' THEN 'ValueError: bad value #' WHEN observation LIKE 'fatal:%' THEN observation END AS err, norm LIKE 'edit %' OR norm LIKE 'str_replace_editor str_replace%' AS edit, observation LIKE 'No repl%' AS bad,
+ observation = 'File updated' OR observation LIKE '%has been edited' AS ok, norm LIKE 'open %' OR norm LIKE 'ls%' AS explore, norm LIKE 'open %' OR norm LIKE 'ls%' AS nav, norm = 'submit' AS fin,
+ CAST(nullif(regexp_extract(observation, '(\\d+) passed', 1), '') AS INTEGER) AS passed, CAST(nullif(regexp_extract(observation, '(\\d+) failed', 1), '') AS INTEGER) AS failed FROM y)""".replace("{steps}", OS)
+RULES = SIG + """, p AS (SELECT a.run, a.i AS L, b.i AS j, b.norm, b.err, b.fam, b.edit, b.bad, b.nav, b.fin FROM s a JOIN s b ON a.run = b.run AND b.i > a.i - 6 AND b.i <= a.i),
+acts AS (SELECT run, L, norm, count(*) AS n, min(j) AS f, bool_or(edit) AS edit, bool_or(nav) AS nav, bool_or(fin) AS fin FROM p GROUP BY ALL), topa AS (SELECT * FROM acts QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY n DESC, f) = 1),
+aem AS (SELECT run, L, norm, max(n) AS n FROM (SELECT run, L, norm, err, count(*) AS n FROM p WHERE err IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+r1 AS (SELECT t.run, t.L, 'same action x' || t.n || ': ' || substr(t.norm, 1, 60) AS r FROM topa t LEFT JOIN aem USING (run, L, norm) WHERE t.n >= 3 AND NOT t.nav AND NOT t.fin AND (t.edit OR coalesce(aem.n, 0) >= 2)),
+r2 AS (SELECT run, L, 'same error x' || n || ': ' || substr(err, 1, 60) AS r FROM (SELECT run, L, err, count(*) AS n FROM p WHERE err IS NOT NULL GROUP BY run, L, err QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1) WHERE n >= 3),
+r3 AS (SELECT run, L, 'edit cycle x' || n || ': ' || substr(fam, 1, 60) AS r FROM (SELECT run, L, fam, count(*) AS n FROM p WHERE edit AND (bad OR err IS NOT NULL) GROUP BY run, L, fam QUALIFY row_number() OVER (PARTITION BY run, L ORDER BY count(*) DESC, min(j)) = 1) WHERE n >= 3),
+q AS (SELECT *, lag(norm) OVER w AS pn, lag(err) OVER w AS pe, last_value(passed IGNORE NULLS) OVER b AS pp, last_value(failed IGNORE NULLS) OVER b AS pf, min(i) OVER (PARTITION BY run, fam) < i OR min(i) OVER (PARTITION BY run, norm) < i AS known
+ FROM s WINDOW w AS (PARTITION BY run ORDER BY i), b AS (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT run, i, CASE WHEN fin AND pf = 0 AND pp > 0 THEN '3finish after passing tests' WHEN fin THEN '1finish without a passing test run' WHEN passed IS NOT NULL AND pp IS NOT NULL AND failed = 0 AND pf > 0 THEN '3failures ' || pf || ' -> 0'
+ WHEN passed IS NOT NULL AND pp IS NOT NULL AND failed > pf THEN '0failures ' || pf || ' -> ' || failed WHEN passed IS NOT NULL AND pp IS NOT NULL AND (failed < pf OR (passed > pp AND failed = 0)) THEN '2tests improved ' || pp || 'p/' || pf || 'f -> ' || passed || 'p/' || failed || 'f'
+ WHEN passed IS NOT NULL AND pp IS NOT NULL THEN '1tests unchanged' WHEN failed = 0 AND passed > 0 THEN '3first passing test run' WHEN passed IS NOT NULL THEN '2first test run, failures present' WHEN pn = norm AND err IS NOT NULL AND err = pe THEN '0repeated action, same error'
+ WHEN pn = norm THEN '1repeated action' WHEN edit AND (bad OR (err IS NOT NULL AND NOT ok)) THEN '0edit failed' WHEN edit THEN '2edit applied' WHEN explore AND known THEN '1re-reading a known location' WHEN explore AND err IS NOT NULL THEN '1exploration hit an error'
+ WHEN explore THEN '2new location explored' WHEN err IS NOT NULL AND err = pe THEN '0same error as previous step' WHEN err IS NOT NULL THEN '1command errored' ELSE '1no signal' END AS x FROM q),
+lab AS (SELECT g.run, g.i, concat_ws('; ', r1.r, r2.r, r3.r) AS reasons, CAST(substr(x, 1, 1) AS INTEGER) AS progress, substr(x, 2) AS why FROM g LEFT JOIN r1 ON r1.run = g.run AND r1.L = g.i LEFT JOIN r2 ON r2.run = g.run AND r2.L = g.i LEFT JOIN r3 ON r3.run = g.run AND r3.L = g.i)"""
+RECORDS = RULES + f""", nn AS (SELECT run, max(i) AS n, greatest(1, max(i) - 1) AS hi FROM s GROUP BY run),
+len AS (SELECT DISTINCT run, n, L FROM (SELECT run, n, least(hi, greatest(1, round_even(f * n, 0))) AS L FROM nn, (SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS f) UNION ALL SELECT run, n, 1 + floor({h01('r', "'run' || run", '0')} * hi) FROM nn)),
+rr AS (SELECT * FROM ({OR}) WHERE run IN (SELECT run FROM nn)), ts AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS nr, sum(outcome::INT) OVER (PARTITION BY task_id) AS ns FROM rr), pr AS (SELECT policy_model, avg(outcome::INT) AS rate FROM rr GROUP BY 1),
+tb AS (SELECT ts.*, rate, CASE WHEN nr - 1 >= 3 THEN (ns - outcome::INT) / (nr - 1) END AS b FROM ts JOIN pr USING (policy_model)),
+rec AS (SELECT 'run' || len.run || '@' || CAST(L AS INTEGER) AS id, task_id, CAST(L AS INTEGER) AS prefix_len, CAST(n AS INTEGER) AS n_steps, round_even(L / n, 4) AS prefix_frac, outcome AS p_success, round(b, 6) AS baseline, round(outcome::INT - b, 6) AS advantage,
+ reasons <> '' AS stuck, reasons AS stuck_reasons, progress, why AS progress_reason, CASE WHEN outcome THEN CASE WHEN greatest(1, n - L) <= 5 THEN 0 WHEN greatest(1, n - L) <= 15 THEN 1 WHEN greatest(1, n - L) <= 40 THEN 2 ELSE 3 END END AS steps_left,
+ CASE WHEN b IS NOT NULL THEN NOT outcome AND b <= 0.5 * rate END AS escalate FROM len JOIN lab ON lab.run = len.run AND lab.i = len.L JOIN tb ON tb.run = len.run)"""
+
+
+@query("prefix_records", RECORDS + " SELECT * FROM rec")
 def prefix_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled records of sampled prefixes."""
-    return _records(spark, sf_dir).select("id", "task_id", "prefix_len", "n_steps", "prefix_frac", "p_success", "baseline", "advantage", "stuck", "stuck_reasons", "progress", "progress_reason", "steps_left", "escalate")
+    d = _records(spark, sf_dir).select("id", "task_id", "prefix_len", "n_steps", "prefix_frac", "p_success", r6("baseline", "baseline"), r6("advantage", "advantage"), "stuck", "stuck_reasons", "progress", "progress_reason", "steps_left", "escalate")
+    return d.withColumn("stuck_reasons", F.array_join("stuck_reasons", "; "))
 
 
 @query("relabel_changes", f"WITH r AS ({OR}) SELECT CAST(0 AS BIGINT) AS escalate, count(*) FILTER (run % 5 = 0) AS p_success, CAST(0 AS BIGINT) AS progress, CAST(0 AS BIGINT) AS steps_left, CAST(0 AS BIGINT) AS stuck FROM r")
@@ -362,7 +394,8 @@ def relabel_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.relabel(old, fresh)[1]
 
 
-@query("rules_fired")
+@query("rules_fired", RECORDS + """, f AS (SELECT split_part(unnest(string_split(stuck_reasons, '; ')), ' x', 1) AS rule FROM rec WHERE stuck), w AS (SELECT progress, array_to_string(list_slice(string_split(progress_reason, ' '), 1, 2), ' ') AS two, count(*) AS n FROM rec GROUP BY ALL)
+SELECT rule, count(*) AS n FROM f GROUP BY rule UNION ALL SELECT 'progress ' || progress || ': ' || two, n FROM (SELECT *, row_number() OVER (PARTITION BY progress ORDER BY n DESC, two) AS k FROM w) WHERE k <= 8""")
 def rules_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir)
     top = stats.top_progress_rules(r).select(F.concat(F.lit("progress "), "progress", F.lit(": "), "rule").alias("rule"), "n")
@@ -372,27 +405,26 @@ def rules_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ candidates, state, features
 
 @query("family_jaccard", f"""WITH st AS ({OS}), f AS (SELECT run, list(DISTINCT split_part(trim(regexp_replace(action, '\\s+', ' ', 'g')), ' ', 1)) AS fs FROM st GROUP BY run), r AS (SELECT run, task_id FROM ({OR})), d AS (SELECT * FROM f JOIN r USING (run))
-SELECT a.run AS run_a, b.run AS run_b, round(len(list_intersect(a.fs, b.fs)) / len(list_distinct(a.fs || b.fs)), 6) AS sim FROM d a JOIN d b ON a.task_id = b.task_id AND a.run < b.run WHERE a.run % 20 = 0""")
+SELECT a.run AS run_a, b.run AS run_b, round(len(list_intersect(a.fs, b.fs)) / len(list_distinct(a.fs || b.fs)), 6) AS sim FROM d a JOIN d b ON a.task_id = b.task_id AND a.run <> b.run WHERE a.run % 20 = 0""")
 def family_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every twentieth run to the later runs of its task."""
+    """Similarity of every twentieth run to all other runs of its task."""
     d = B.order_runs(spark, sf_dir).select("run", "task_id", F.array_distinct(F.transform("steps", lambda s: F.substring_index(X.normalize_action(s["action"]), " ", 1))).alias("fs"))
     a, b = d.where("run % 20 = 0").select(F.col("run").alias("run_a"), "task_id", F.col("fs").alias("fa")), d.select(F.col("run").alias("run_b"), "task_id", F.col("fs").alias("fb"))
-    return a.join(b, "task_id").where("run_a < run_b").select("run_a", "run_b", r6(A.jaccard(F.col("fa"), F.col("fb")), "sim"))
+    return a.join(b, "task_id").where("run_a <> run_b").select("run_a", "run_b", r6(A.jaccard(F.col("fa"), F.col("fb")), "sim"))
 
 
-@query("actions_near", f"WITH st AS ({OS}) SELECT a.run, CAST(a.i AS INTEGER) AS prefix_len, CAST(b.i - 1 AS INTEGER) AS step, b.action FROM st a JOIN st b ON a.run = b.run AND abs(b.i - 1 - a.i) <= 2 WHERE a.run % 10 = 0")
+@query("actions_near", f"WITH st AS ({OS}) SELECT a.run, CAST(a.i AS INTEGER) AS prefix_len, CAST(b.i - 1 AS INTEGER) AS step, b.action FROM st a JOIN st b ON a.run = b.run AND abs(b.i - 1 - a.i) <= 2")
 def actions_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The band join of a prefix and its run's steps, as a slice."""
-    d = labels.expand_prefixes(B.order_runs(spark, sf_dir).where("run % 10 = 0"))
+    d = labels.expand_prefixes(B.order_runs(spark, sf_dir))
     near = candidates.actions_near(F.transform("steps", lambda s: s["action"]), F.col("prefix_len"), 2)
     return d.select("run", "prefix_len", F.explode(near).alias("x")).select("run", "prefix_len", "x.step", "x.action")
 
 
 @query("candidate_sets")
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = labels.derive(B.order_runs(spark, sf_dir)).select("traj_id", "task_id", "outcome", F.transform("sig", lambda s: s["norm"]).alias("norm"), F.transform("sig", lambda s: s["fam"]).alias("fam"), "steps")
-    prefixes = labels.expand_prefixes(runs).select("traj_id", "task_id", "prefix_len")
-    return candidates.candidate_sets(prefixes, runs.drop("steps"))
+    runs = labels.derive(B.order_runs(spark, sf_dir)).select("traj_id", "task_id", "outcome", F.transform("sig", lambda s: s["norm"]).alias("norm"), F.transform("sig", lambda s: s["fam"]).alias("fam"), F.sequence(F.lit(1), F.size("sig")).alias("lens"))
+    return candidates.sets_of_runs(runs)
 
 
 @query("render_state")
@@ -485,9 +517,12 @@ def prefix_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes])
 
 
-@query("selective_report")
+@query("selective_report", LV + """, g AS (SELECT list_max(ps) AS c, count(*) AS k, sum((pred <> level)::INT) AS e FROM d GROUP BY 1), r AS (SELECT *, sum(k) OVER (ORDER BY c DESC) AS n, sum(e) OVER (ORDER BY c DESC) AS bad, sum(k) OVER () AS total FROM g)
+SELECT round(sum(bad / n * k) / max(total), 6) AS aurc, round(1 - arg_min(bad / n, n) FILTER (n >= 0.5 * total), 6) AS accuracy_at_50, round(1 - arg_min(bad / n, n) FILTER (n >= 0.8 * total), 6) AS accuracy_at_80,
+ round(coalesce(max(n / total) FILTER (bad / n <= 0.05), 0), 6) AS coverage_at_5, round(coalesce(max(n / total) FILTER (bad / n <= 0.01), 0), 6) AS coverage_at_1 FROM r""")
 def selective_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.selective_report(_levels(spark, sf_dir), "level", "ps")
+    r = metrics.selective_report(_levels(spark, sf_dir), "level", "ps")
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
 @query("bootstrap_ci")
@@ -508,10 +543,13 @@ def fit_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.fit_temperatures(_levels(spark, sf_dir), "lang", "ps", "level", least_rows=10)
 
 
-@query("flag_thresholds")
+@query("flag_thresholds", f"""WITH d AS (SELECT doc_id % 2 = 0 AS dev, toxic AS y, p FROM ({SD})), v AS (SELECT list_reverse_sort(list(p)) AS v FROM d WHERE dev AND y = 0), t AS (SELECT budget, v[CAST(floor(budget * len(v)) AS INT) + 1] AS threshold FROM v, (SELECT unnest([0.05, 0.1, 0.25]::DOUBLE[]) AS budget))
+SELECT budget, round(threshold, 6) AS threshold, round(count(*) FILTER (dev AND y = 1 AND p > threshold) / greatest(1, count(*) FILTER (dev AND y = 1)), 6) AS dev_recall, round(avg((p > threshold)::INT) FILTER (NOT dev AND y = 0), 6) AS test_fpr,
+ round(avg((p > threshold)::INT) FILTER (NOT dev AND y = 1), 6) AS test_recall, round(avg((p > threshold)::INT) FILTER (NOT dev), 6) AS test_fired FROM d, t GROUP BY budget, threshold""")
 def flag_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.scored(spark, sf_dir)
-    return calibration.flag_thresholds(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "toxic", "p")
+    r = calibration.flag_thresholds(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "toxic", "p")
+    return r.select("budget", *[F.round(c, 6).alias(c) for c in r.columns if c != "budget"])
 
 
 @query("losses", LV + """SELECT doc_id, round(-ln(greatest(ps[level + 1], 1e-9)), 6) AS ce,
@@ -553,7 +591,7 @@ def guardian_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tracklore.streaming import guardian as G
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/guardian-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/guardian-{uuid.uuid4().hex}"
     steps = B.sql(spark, sf_dir, EVENT_SCORES, "events")
     steps.repartition("run_id").sortWithinPartitions("run_id", "step").write.parquet(f"{root}/in")
     G.use_rocksdb(spark)
@@ -579,25 +617,31 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PT = f"WITH n AS (SELECT l_orderkey AS run, count(*) AS n_steps FROM lineitem GROUP BY 1), pt AS (SELECT run, task_id, policy_model AS policy, outcome, n_steps, k AS prefix_len, k / n_steps AS prefix_frac, ((run * 7 + k * 31) % 97 + 1) / 99.0::DOUBLE AS p FROM ({OR}) r JOIN n USING (run), range(1, 20) t(k) WHERE k <= n_steps)"
 GRID = ", grid AS (SELECT round_even(0.02 + k * 0.01, 10) AS thr FROM range(0, 97) t(k))"
-SIM = GRID + ", sim AS (SELECT thr, run, any_value(outcome) AS outcome, any_value(n_steps) AS n_steps, min(prefix_len) FILTER (prefix_frac >= 0.2 AND p < thr) AS a FROM pt, grid WHERE run % 10 = 0 GROUP BY thr, run)"
+SIM = GRID + ", sim AS (SELECT thr, run, any_value(outcome) AS outcome, any_value(n_steps) AS n_steps, min(prefix_len) FILTER (prefix_frac >= 0.2 AND p < thr) AS a FROM pt, grid GROUP BY thr, run)"
 MET = SIM + ", met AS (SELECT thr, count(*) AS runs, count(*) FILTER (outcome AND a IS NOT NULL) / greatest(1, count(*) FILTER (outcome)) AS fpr, count(*) FILTER (NOT outcome AND a IS NOT NULL) / greatest(1, count(*) FILTER (NOT outcome)) AS recall, coalesce(sum(n_steps - a), 0) / sum(n_steps) AS saved FROM sim GROUP BY thr)"
 
 
 @query("abort_grid", PT + MET + " SELECT thr, runs, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(saved, 6) AS steps_saved FROM met")
 def abort_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir).where("run % 10 = 0"), simulate.thresholds(spark)))
+    m = simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir), simulate.thresholds()))
     return m.select("thr", "runs", r6("fpr", "fpr"), r6("recall", "recall"), r6("steps_saved", "steps_saved"))
 
 
 @query("abort_thresholds", PT + MET + " SELECT budget::DOUBLE AS budget, coalesce(max(thr) FILTER (fpr <= budget), 0.0) AS threshold FROM met, (SELECT unnest([0.05, 0.1, 0.25]::DOUBLE[]) AS budget) GROUP BY budget")
 def abort_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.pick_thresholds(simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir).where("run % 10 = 0"), simulate.thresholds(spark))))
+    return simulate.pick_thresholds(simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir), simulate.thresholds())))
 
 
-@query("policy_operating_points")
+@query("policy_operating_points", PT + GRID + """, sim AS (SELECT policy, run % 2 AS half, thr, run, any_value(outcome) AS o, any_value(n_steps) AS n, min(prefix_len) FILTER (prefix_frac >= 0.2 AND p < thr) AS a FROM pt, grid GROUP BY policy, half, thr, run),
+met AS (SELECT policy, half, thr, count(*) AS runs, count(*) FILTER (o AND a IS NOT NULL) / greatest(1, count(*) FILTER (o)) AS fpr, count(*) FILTER (NOT o AND a IS NOT NULL) / greatest(1, count(*) FILTER (NOT o)) AS recall, count(*) FILTER (NOT o AND a IS NOT NULL) / greatest(1, count(a)) AS precision,
+ count(a) / count(*) AS fired, coalesce(sum(n - a), 0) / greatest(1, sum(n)) AS steps_saved, avg(o::INT) AS resolve_rate, avg((o AND a IS NULL)::INT) AS resolve_rate_with_abort FROM sim GROUP BY ALL),
+own AS (SELECT policy, budget, coalesce(max(thr) FILTER (fpr <= budget), 0.0)::DOUBLE AS threshold FROM met, (SELECT unnest([0.05, 0.1, 0.25]::DOUBLE[]) AS budget) WHERE half = 0 GROUP BY policy, budget HAVING max(runs) >= 100)
+SELECT own.policy, own.threshold, own.budget, runs, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(precision, 6) AS precision, round(fired, 6) AS fired, round(steps_saved, 6) AS steps_saved, round(resolve_rate, 6) AS resolve_rate, round(resolve_rate_with_abort, 6) AS resolve_rate_with_abort
+FROM own LEFT JOIN met ON met.half = 1 AND met.policy = own.policy AND met.thr::DOUBLE = own.threshold WHERE own.policy IN (SELECT policy FROM met WHERE half = 1 AND runs >= 100)""")
 def policy_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _points(spark, sf_dir)
-    return simulate.policy_operating_points(d.where("run % 2 = 0"), d.where("run % 2 = 1"), simulate.thresholds(spark))
+    r = simulate.policy_operating_points(d.where("run % 2 = 0"), d.where("run % 2 = 1"), simulate.thresholds())
+    return r.select(*[F.round(c, 6).alias(c) if t == "double" and c not in ("threshold", "budget") else c for c, t in r.dtypes])
 
 
 LAST = PT + ", la AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY run ORDER BY prefix_frac DESC, run || '@' || prefix_len) = 1), ra AS (SELECT policy, avg(outcome::INT) AS rate FROM la GROUP BY 1), x AS (SELECT la.*, first_value(policy) OVER (PARTITION BY task_id ORDER BY rate DESC, policy) AS top FROM la JOIN ra USING (policy))"
@@ -616,14 +660,25 @@ def pick_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes])
 
 
-@query("within_policy")
+@query("within_policy", LAST + """, pk AS (SELECT task_id, policy, count(*) AS runs, arg_min(outcome::INT, struct_pack(a := -p, b := run)) AS model, arg_min(outcome::INT, struct_pack(a := n_steps, b := run)) AS shortest, avg(outcome::INT) AS random, max(outcome::INT) AS oracle FROM la GROUP BY task_id, policy HAVING count(*) >= 2)
+SELECT policy, count(*) AS groups, CAST(sum(runs) AS BIGINT) AS runs, round(avg(model), 6) AS model, round(avg(shortest), 6) AS shortest, round(avg(random), 6) AS random, round(avg(oracle), 6) AS oracle, round(avg(random), 6) AS best_policy, round(avg(model - random), 6) AS lift, round(avg(model - random), 6) AS lift_vs_best_policy
+FROM pk GROUP BY policy HAVING count(*) >= 10""")
 def within_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.within_policy(simulate.latest_scores(_points(spark, sf_dir)))
+    r = simulate.within_policy(simulate.latest_scores(_points(spark, sf_dir)))
+    return r.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes])
 
 
-@query("best_of_n")
+@query("best_of_n", LAST + """, dr AS (SELECT task_id, d, p, outcome::INT AS won, row_number() OVER (PARTITION BY task_id, d ORDER BY sha1('0:' || task_id || ':' || d || ':' || run)) AS k, count(*) OVER (PARTITION BY task_id, d) AS size FROM la, range(1, 201) t(d)),
+g AS (SELECT n, task_id, d, arg_max(won, struct_pack(a := p, b := won)) AS model, max(won) FILTER (k = 1) AS random FROM dr, (SELECT unnest([1, 2, 4, 8]) AS n) WHERE k <= n AND size >= n GROUP BY n, task_id, d)
+SELECT n, round(avg(model), 6) AS model, round(avg(random), 6) AS random, count(DISTINCT task_id) AS groups FROM g GROUP BY n""")
 def best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.best_of_n(simulate.latest_scores(_points(spark, sf_dir)))
+    r = simulate.best_of_n(simulate.latest_scores(_points(spark, sf_dir)))
+    return r.select("n", r6("model", "model"), r6("random", "random"), "groups")
+
+
+@query("lift_interval")
+def lift_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.lift_interval(simulate.picks(simulate.latest_scores(_points(spark, sf_dir))))
 
 
 @query("answers", LV + " SELECT doc_id, round(p, 6) AS p_true, CASE WHEN p > 1 - p THEN 'true' ELSE 'false' END AS choice, round_even((greatest(p, 1 - p) - 0.5) / 0.5, 4) AS confidence FROM d")
@@ -637,3 +692,142 @@ def plug_in_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("state"))
     made = scoring.score_states(d, lambda: scoring.FunctionScorer(lambda s, q: {"p_success": [1 - int(s) % 10 / 10, int(s) % 10 / 10]}), ["p_success"])
     return made.select("id", "question", r6(F.element_at("p", 2), "p_true"))
+
+
+# ------------------------------------------------------------------------------------------------ scored rows and records
+
+#: Scored rows of three questions for each labelled document, every third of another variant.
+SCORED_ROWS = f"""SELECT doc_id, source, lang, frac, CASE WHEN doc_id % 3 = 0 THEN 'misleading' WHEN doc_id % 3 = 1 THEN 'clean' END AS variant, p, quality, toxic FROM ({SD})"""
+
+
+def _scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.sql(spark, sf_dir, SCORED_ROWS, "labels", "documents").withColumn("p", F.col("p").cast("double"))
+    cell = lambda q, t, keys, label, p: F.struct(F.lit(q).alias("question"), F.lit(t).alias("type"), F.array(*map(F.lit, keys)).alias("keys"), label.cast("int").alias("label"), F.array(*p).alias("p"))
+    p = F.col("p")
+    rows = [
+        cell("p_success", "noul", ["False", "True"], F.col("toxic"), [1 - p, p]), cell("progress", "score", "0123", F.col("quality") + 2 * F.col("toxic"), [p * 0.5, (1 - p) * 0.4, (1 - p) * 0.6, p * 0.5]),
+        cell("best_next", "choice", ["option_1", "option_2", "option_3"], F.col("quality"), [p * 0.5, 1 - p, p * 0.5]),
+    ]
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), "variant", F.inline(F.array(*rows)))
+
+
+def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the documents of some languages, with labels of their own: some masked, some unknown options."""
+    d = B.table(spark, sf_dir, "documents").where("lang <> 'es'")
+    k = F.col("doc_id")
+    return d.select(
+        k.alias("id"), "source", F.when(F.col("lang") == "de", "tool").otherwise("swe").alias("domain"), ((k % 100) / 100.0).cast("double").alias("prefix_frac"), F.when(k % 5 != 0, k % 2 == 0).alias("p_success"),
+        F.when(k % 7 != 0, (k % 4).cast("int")).alias("progress"), F.concat(F.lit("option_"), (k % 4).cast("string")).alias("best_next"),
+    )
+
+
+@query("known_rows", f"""WITH r AS ({SCORED_ROWS}) SELECT question, count(*) AS n, round(avg(prefix_frac), 6) AS frac FROM (SELECT unnest(['p_success', 'progress', 'best_next']) AS question, (doc_id % 100) / 100.0::DOUBLE AS prefix_frac FROM r JOIN documents USING (doc_id)
+ WHERE documents.lang <> 'es' AND coalesce(variant, 'clean') = 'clean') GROUP BY question""")
+def known_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean rows with a record, and what their records say."""
+    records = _document_records(spark, sf_dir)
+    d = evaluation.with_record(evaluation.known_rows(_scored_rows(spark, sf_dir), records), records, ["prefix_frac"])
+    return d.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prefix_frac"), 6).alias("frac"))
+
+
+@query("fresh_labels", f"""WITH r AS ({SCORED_ROWS}), j AS (SELECT r.* FROM r JOIN documents USING (doc_id) WHERE documents.lang <> 'es')
+SELECT doc_id AS id, 'p_success' AS question, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label FROM j WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'progress', CAST(doc_id % 4 AS INTEGER) FROM j WHERE doc_id % 7 <> 0
+UNION ALL SELECT doc_id, 'best_next', CASE WHEN doc_id % 4 = 0 THEN CAST(quality AS INTEGER) ELSE CAST(doc_id % 4 - 1 AS INTEGER) END FROM j""")
+def fresh_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = evaluation.with_fresh_labels(_scored_rows(spark, sf_dir), _document_records(spark, sf_dir), ["p_success", "progress", "best_next"])
+    return d.select("id", "question", "label")
+
+
+@query("question_reports", f"""WITH d AS (SELECT *, {PROBS}::DOUBLE[] AS ps, quality + 2 * toxic AS level FROM ({SCORED_ROWS}) WHERE coalesce(variant, 'clean') = 'clean'), r AS (SELECT *, list_position(ps, list_max(ps)) - 1 AS pred, [p * 0.5, 1 - p, p * 0.5]::DOUBLE[] AS cs FROM d),
+m AS (SELECT 'p_success' AS question, unnest(['n', 'positive_rate', 'accuracy', 'brier']) AS metric, unnest([count(*), avg(toxic), avg(((p >= 0.5)::INT = toxic)::INT), avg((p - toxic) * (p - toxic))]) AS value FROM r
+UNION ALL SELECT 'progress', unnest(['n', 'accuracy', 'mae', 'within_one']), unnest([count(*), avg((pred = level)::INT), avg(abs(ps[2] + 2 * ps[3] + 3 * ps[4] - level)), avg((abs(pred - level) <= 1)::INT)]) FROM r
+UNION ALL SELECT 'best_next', unnest(['n', 'top1', 'k_mean', 'nll']), unnest([count(*), avg((list_position(cs, list_max(cs)) - 1 = quality)::INT), 3, -avg(ln(cs[quality + 1]))]) FROM r) SELECT question, metric, round(value, 6) AS value FROM m""")
+def question_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluation.reports(evaluation.clean(_scored_rows(spark, sf_dir)))
+    return r.where("metric IN ('n', 'positive_rate', 'brier', 'mae', 'within_one', 'top1', 'k_mean') OR (metric = 'accuracy') OR (metric = 'nll' AND question = 'best_next')").withColumn("value", F.round("value", 6))
+
+
+@query("raw_and_calibrated")
+def raw_and_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = evaluation.clean(_scored_rows(spark, sf_dir))
+    return evaluation.raw_and_calibrated(d.where("id % 2 = 0"), d.where("id % 2 = 1"), least_rows=10)
+
+
+@query("question_masks", "SELECT doc_id AS id, CASE WHEN lang <> 'de' AND doc_id % 7 <> 0 THEN CAST(doc_id % 4 AS INTEGER) END AS progress FROM documents WHERE lang <> 'es'")
+def question_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question kept, and masked in one domain."""
+    d = evaluation.mask_question(_document_records(spark, sf_dir), "progress", "tool")
+    return evaluation.keep_questions(d, ["progress"]).select(*[c for c in ("id", "progress", "p_success", "best_next") if c in evaluation.keep_questions(d, ["progress"]).columns])
+
+
+@query("tool_text", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'ls ' || event_type END AS command, CASE WHEN event_id % 3 = 0 THEN trim(event_type || chr(10) || 'Error: x') ELSE event_type END || CASE WHEN event_id % 4 <> 0 THEN chr(10) || '[exit ' || (event_id % 4) || ']' ELSE '' END AS seen FROM events""")
+def tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    given = F.when(k % 2 == 0, F.to_json(F.struct(F.col("event_type").alias("command")))).otherwise(F.concat(F.lit("ls "), "event_type"))
+    return B.table(spark, sf_dir, "events").select("event_id", X.tool_command(given).alias("command"), X.tool_observation(F.col("event_type"), k % 4, F.when(k % 3 == 0, "Error: x")).alias("seen"))
+
+
+@query("turn_runs", SEG + """, f AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user' AND text <> ''), '') AS first FROM conversations GROUP BY conv_id)
+SELECT 'turns/m' || '/' || 'shop/' || conv_id AS traj_id, trim('[shop customer-service task] ' || first, ' ' || chr(10) || chr(9)) AS task, conv_id % 2 = 0 AS outcome, CAST(count(*) AS INTEGER) AS n_steps, string_agg(action, '|' ORDER BY seg) AS actions FROM s JOIN f USING (conv_id) GROUP BY conv_id, first""")
+def turn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as customer-service runs: task from the first user text, outcome from the score."""
+    none = F.lit(None)
+    calls = none.cast("array<struct<name:string,arguments:string>>")
+    m = F.struct("turn", "role", F.col("text").alias("content"), calls.alias("tool_calls"), F.col("turn").cast("int").alias("turn_idx"))
+    d = B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"))
+    messages = F.transform("ms", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), calls.alias("tool_calls"), x["turn"].cast("int").alias("turn_idx")))
+    raw = d.select(
+        F.lit("shop").alias("task_name"), F.lit("/models/m").alias("model_path"), F.lit("u").alias("user_model_path"), messages.alias("messages"), F.struct(F.when(F.col("conv_id") % 2 == 0, 1.0).otherwise(0.0).alias("score"), F.lit(True).alias("db_match")).alias("eval_result"),
+        F.struct(F.col("conv_id").cast("string").alias("id"), F.lit(False).alias("is_correct"), F.lit("stop").alias("finish_reason"), F.lit(1.0).alias("duration_seconds")).alias("meta"),
+    )
+    out = convert.turn_based(raw).where("skip_reason IS NULL")
+    return out.select("traj_id", "task", "outcome", F.size("steps").alias("n_steps"), F.array_join(F.transform("steps", lambda x: x["action"]), "|").alias("actions"))
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = evaluation.clean(_scored_rows(spark, sf_dir)).withColumns({"id": F.col("id").cast("string"), "adapter": scoring.route(F.col("question"), {"best_next": "v1", "p_success": "v0"}, ["v1", "v0"])})
+    return scoring.calibrated(d, {"v0": {"p_success": 2.0}, "v1": {"best_next": 1.0}})
+
+
+@query("routed_answers", f"""SELECT CAST(doc_id AS VARCHAR) AS id, 'v0' AS adapter, 'p_success' AS question, round(1 / (1 + pow((1 - p) / p, 0.5)), 6) AS top FROM ({SCORED_ROWS}) WHERE p >= 0.5 AND coalesce(variant, 'clean') = 'clean'
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'v0', 'p_success', round(1 - 1 / (1 + pow((1 - p) / p, 0.5)), 6) FROM ({SCORED_ROWS}) WHERE p < 0.5 AND coalesce(variant, 'clean') = 'clean'
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'v1', 'best_next', round(greatest(1 - p, p * 0.5), 6) FROM ({SCORED_ROWS}) WHERE coalesce(variant, 'clean') = 'clean'""")
+def routed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers under the temperature of the adapter that a question goes to."""
+    return _answered(spark, sf_dir).where("question <> 'progress'").select("id", "adapter", "question", r6(F.array_max("calibrated"), "top"))
+
+
+@query("best_candidates", f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN p * 0.5 >= 1 - p THEN 'option_1' ELSE 'option_2' END AS choice, round(greatest(1 - p, p * 0.5), 6) AS p FROM ({SCORED_ROWS}) WHERE coalesce(variant, 'clean') = 'clean'")
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.best_of(_answered(spark, sf_dir)).select("id", "choice", r6("p", "p"))
+
+
+@query("answers_as_json", f"""SELECT CAST(doc_id AS VARCHAR) AS id, 3 AS n, CASE WHEN p * 0.5 >= 1 - p THEN 'option_1' ELSE 'option_2' END AS choice, round(p * 0 + (1 - p) * 0.4 + (1 - p) * 1.2 + p * 1.5, 6) AS expected FROM ({SCORED_ROWS}) WHERE coalesce(variant, 'clean') = 'clean'""")
+def answers_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All answers of a record as one object, read back."""
+    d = scoring.answers_json(_answered(spark, sf_dir))
+    get = lambda path: F.get_json_object("answers", path)
+    return d.select("id", F.json_array_length(F.to_json(F.json_object_keys("answers"))).alias("n"), get("$.best_next.choice").alias("choice"), F.round(get("$.progress.expected").cast("double"), 6).alias("expected"))
+
+
+@query("heuristics", None)
+def heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = features.add_features(state.render_states(_records(spark, sf_dir).withColumn("policy_shown", splits.policy_shown("s6")), policy=F.col("policy_shown")))
+    return d.select("id", *[c.alias(n) for n, c in features.heuristic_scores().items()])
+
+
+@query("shuffle_order", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {h01('s9', 'doc_id')}, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 200")
+def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 of the shuffled documents, by place."""
+    from pyspark.sql import Window
+
+    d = splits.shuffled(B.table(spark, sf_dir, "documents").select("doc_id"), "s9", "doc_id").limit(200)
+    return d.select("doc_id", F.row_number().over(Window.orderBy(A.sigma_hash("s9", F.col("doc_id")), "doc_id")).alias("place"))
+
+
+@query("run_content", f"SELECT min(run) AS run, count(*) AS copies FROM (SELECT run, string_agg(chr(31) || action || chr(30) || observation, '' ORDER BY i) AS body FROM ({OS}) GROUP BY run) GROUP BY body")
+def run_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the same steps, whatever their tasks, by content hash."""
+    d = B.order_runs(spark, sf_dir).withColumns({"task": F.lit("t"), "policy_model": F.lit("p")}).withColumn("content", splits.content_hash())
+    first = splits.dedup_first(d.select("run", "content"), F.col("content"), ["run"])
+    return first.join(d.groupBy("content").agg(F.count(F.lit(1)).alias("copies")), "content").select("run", "copies")

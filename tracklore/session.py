@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,6 +19,17 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir. Without that setting a session on one machine
+    has a folder of its own; on a cluster nothing else is known to be shared, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return folder
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session on this machine for tests and benchmarks."""
     spark = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,34 @@ def report_markdown(title: str, stats: DataFrame, most_rows: int = 200) -> str:
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else str(v)
     head = ["| " + " | ".join(stats.columns) + " |", "|" + "---|" * len(stats.columns)]
     return "\n".join([f"# {title}", "", *head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the place of `path`, written beside it and moved there in one step."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    here = hadoop.Path(path)
+    fs = here.getFileSystem(conf)
+    here, beside = (p.makeQualified(fs.getUri(), fs.getWorkingDirectory()) for p in (here, hadoop.Path(f"{path}.{uuid.uuid4().hex}")))
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    replace = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(here.toUri(), conf).rename(beside, here, replace)
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """A new version of the table at `path`: written whole to a folder of its own, then named by the file LATEST, which is
+    replaced in one step. Readers see the old version or the new one; a writer that dies leaves the old one."""
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{version}")
+    write_text(df.sparkSession, f"{path}/LATEST", version)
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that LATEST names."""
+    version = spark.read.text(f"{path}/LATEST").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
