@@ -4,8 +4,9 @@ Each normalised text is cut into fixed-size byte blocks. Equal blocks, compared
 integer name; then the names of adjacent blocks are paired and the pairs named, until one name identifies the whole
 text. Names never collide, since a name stands for one block or one ordered pair of names.
 
-Texts travel through one shuffle. A block with more than `hot_share` of all blocks is dealt to `salts` tasks; the few
-names that it gets there (at most `salts / hot_share` rows, whatever the input) are unified by a broadcast join.
+Texts travel through one shuffle. A block with more than HOT_SHARE of all blocks is dealt to as many tasks as its share
+asks for; the names that it gets there (fewer than 5 / HOT_SHARE rows, whatever the input) are unified by a broadcast join.
+Names that many rows share are joined in parts in the same way.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import BLANK, frozen, salted_join, table
+from tracklore.llm.common import BLANK, HOT_SHARE, frozen, hot_join, hot_keys, table
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192, hot_share: float = 0.002, salts: int = 16) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """One row per input row: `<id_col>`, keep_id, group_size, kept, text_sha256, n_blocks.
 
     Null text counts as empty; empty texts form one group like any other. Of equal texts the row with the smallest id
     stays; rows with a null id stay only if no row of their group has an id. Repeated rows (same id and text) are all
-    marked kept if their id is the group's smallest. An empty table gives an empty result; extra columns are ignored.
+    marked kept if their id is the group's smallest. Very long texts are cut into blocks like any other; a task holds the
+    one it reads. An empty table gives an empty result; extra columns are ignored, whatever their names.
     """
     norm = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANK, " ").alias("t"))
     raw = norm.select("rid", "id", F.unhex(F.sha2("t", 256)).alias("sha"), F.encode("t", "UTF-8").alias("b"), F.length("t").alias("chars"))
@@ -34,9 +36,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("b"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
     ).withColumn("h", F.xxhash64("block"))
 
-    hot = _hot(blocks, hot_share)
-    blocks = blocks.withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
-    blocks = blocks.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(salts))).otherwise(0).cast("int"))
+    hot = _hot(blocks)
+    if hot:
+        parts = F.broadcast(df.sparkSession.createDataFrame(hot, "h long, parts int"))
+        blocks = blocks.join(parts, "h", "left").withColumns({"hot": F.col("parts").isNotNull(), "salt": F.coalesce(F.pmod(F.xxhash64("rid"), "parts"), F.lit(0))})
+    else:
+        blocks = blocks.withColumns({"hot": F.lit(False), "salt": F.lit(0).cast("long")})
     w = Window.partitionBy("h", "salt").orderBy("block")
     named = (
         blocks.withColumn("first", ~F.col("block").eqNullSafe(F.lag("block").over(w)))
@@ -56,20 +61,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     longest = many.agg(F.max("n")).first()[0] or 1
     for _ in range(math.ceil(math.log2(longest))):
         many = _pair_up(many)
-    ids = single.unionByName(many).select("rid", "id", "sha", "n", "name")
-    groups = ids.groupBy("n", "name").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = salted_join(ids, groups, ["n", "name"], F.xxhash64("rid"))
+    ids = frozen(single.unionByName(many).select("rid", "id", "sha", "n", "name"))
+    groups = ids.groupBy("n", "name").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumnRenamed("n", "size")
+    out = hot_join(ids, groups, "name", hot_keys(ids, "name"), F.xxhash64("rid"), F.col("n") == F.col("size"))
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), F.col("n").alias("n_blocks"),
     )
 
 
-def _hot(blocks: DataFrame, share: float) -> list[int]:
-    """Hashes of blocks that make up over `share` of all: fewer than 1 / share of them at any input size."""
-    counts = frozen(blocks.groupBy("h").count().where("count > 64"))
-    least = share * blocks.where("pos = 0").agg(F.sum("n")).first()[0] if not counts.isEmpty() else 0
-    return [r.h for r in counts.where(F.col("count") > least).collect()]
+def _hot(blocks: DataFrame) -> list[tuple[int, int]]:
+    """(hash, parts) of blocks that make up over HOT_SHARE of all: fewer than 1 / HOT_SHARE of them at any input size."""
+    counts = frozen(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 64"))
+    least = max(64.0, HOT_SHARE * (blocks.where("pos = 0").agg(F.sum("n")).first()[0] if not counts.isEmpty() else 0))
+    return [(r.h, math.ceil(4 * r.k / least)) for r in counts.where(F.col("k") > least).collect()]
 
 
 def _pair_up(names: DataFrame) -> DataFrame:
@@ -80,7 +85,8 @@ def _pair_up(names: DataFrame) -> DataFrame:
     )
     pairs = frozen(pairs)
     fresh = frozen(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b", F.monotonically_increasing_id().alias("name")))
-    return salted_join(pairs, fresh, ["a", "b"], F.xxhash64("rid")).select("rid", "id", "sha", "n", F.col("p").alias("pos"), "name")
+    fresh = fresh.withColumnRenamed("b", "other")
+    return hot_join(pairs, fresh, "a", hot_keys(pairs, "a"), F.xxhash64("rid"), F.col("b") == F.col("other")).select("rid", "id", "sha", "n", F.col("p").alias("pos"), "name")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
