@@ -87,7 +87,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     id. Rows without id, text or language are left out.
 
     The sample is taken in one pass: the hash's least share that holds the wanted rows with near certainty is kept of each
-    language, and of that the first rows. Should it hold fewer, the sample is that much smaller."""
+    language, and of that the first rows. Should it hold fewer, the sample is that much smaller. The driver holds one row a
+    language, as the model does, and broadcasts them."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     enough = per_language + 8 * per_language**0.5 + 32
     shares = spark.createDataFrame([(k, x, min(1.0, enough / sizes[x])) for k, x in enumerate(langs)], "k int, l string, share double")
     u = F.xxhash64("i") / F.lit(2.0**64) + 0.5
-    few = rows.join(shares, "l").where(u <= F.col("share"))
+    few = rows.join(F.broadcast(shares), "l").where(u <= F.col("share"))
     first = Window.partitionBy("k").orderBy(F.xxhash64("i"), "i", "t")
     sample = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("k", "t")
     n = len(langs)
