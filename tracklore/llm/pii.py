@@ -198,6 +198,32 @@ def _table() -> list[tuple[list[str], list[int]]]:
     return out
 
 
+class _Classes(dict):
+    """Character classes by code point, for str.translate: as in `shape`."""
+
+    def __missing__(self, c: int) -> str:
+        out = self[c] = shape(chr(c))
+        return out
+
+
+_CLASSES = _Classes()
+#: Distinct words whose vectors a worker remembers, and their characters.
+MOST_KNOWN, MOST_KNOWN_CHARS = 300_000, 1 << 24
+
+
+class _Rows(dict):
+    """Row numbers of words, made when first asked for."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.chars = make, 0
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = self.make(word)
+        self.chars += len(word)
+        return k
+
+
 class Field:
     """Emission weights by feature, transition weights, and Viterbi over batches of runs."""
 
@@ -218,13 +244,20 @@ class Field:
         base = self.move[0, 0]
         self.inner = float(self.move[1:n, 1:].max() - base)
         self.ends = float(max(self.move[0, 1:].max() - base, self.move[n, 1:].max() - self.move[n, 0]) + max(0.0, self.move[1:n, 0].max() - base) - self.inner)
+        self.named = {w: i for w in {f.partition("=")[2] for f in self.index if ":word=" in f or ":said=" in f} - {""} for i in [np.zeros((len(self.VIEWS), n), np.float32)]}
+        for w, rows in self.named.items():
+            for v, view in enumerate(self.VIEWS):
+                rows[v] += self._sum(view, [f"said={w}" if v else f"word={w}"])
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Rows(self._vectors)
         self.alike: dict[tuple, np.ndarray] = {}
-        self.held = 0
-        self.rows = np.zeros((1024, len(self.VIEWS), len(_LABELS)), np.float64)
+        self.rows = np.zeros((4096, len(self.VIEWS), len(_LABELS)), np.float32)
+        # row 0 stands between texts: outside for certain, and no word to its neighbours
+        self.rows[0, 0, 1:] = -1e6
+        for v, view in enumerate(self.VIEWS):
+            self.rows[0, v] += 0 if not v else self._sum(view, ["none"])
 
     def names(self, words: list[str], i: int) -> list[str]:
         out = [f"own:{f}" for f in word_features(words[i])]
@@ -295,75 +328,61 @@ class Field:
         return self.emit[ids].sum(axis=0)
 
     def _vectors(self, word: str) -> int:
-        """Number of a word's row of vectors. Words of letters in one case share what does not depend on the letters."""
+        """Number of a word's row of vectors. Words with the same classes of characters share what their letters do not change."""
         core = word.strip(EDGES)
-        named = "word=", "said="
-        case = "a" if core.islower() else "A" if core.isupper() else "t" if core[:1].isupper() and core[1:].islower() else ""
-        if case and core.isalpha():
-            if len(core) < 14:
-                named = f"word={core.lower()}", f"said={core.lower()}"
-            key = (case, len(core), word.replace(core, "\0", 1), len(core) >= 16 and set(core) <= _HEX)
-            row = self.alike.get(key)
-            if row is None:
-                row = self.alike[key] = self._rows(word, True)
-        else:
-            row, named = self._rows(word, False), ()
-        k = len(self.known)
+        key = word.translate(_CLASSES), len(core) >= 16 and set(core) <= _HEX, word.partition("=")[0] if "=" in word else ""
+        row = self.alike.get(key)
+        if row is None:
+            own, near = ([f for f in names if not f.startswith(("word=", "said="))] for names in (word_features(word), near_features(word)))
+            row = self.alike[key] = np.stack([self._sum(view, [*(near if v else own), "said=" if v else "word="]) if not core.isalpha() or len(core) > 13 else self._sum(view, near if v else own) for v, view in enumerate(self.VIEWS)]).astype(np.float32)
+        k = len(self.known) + 1
         if k == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[k] = row
-        for v, view in enumerate(self.VIEWS if named else ()):
-            i = self.index.get(f"{view}:{named[v > 0]}")
-            if i is not None:
-                self.rows[k, v] += self.emit[i]
-        self.known[word] = k
-        self.held += len(word)
+        if len(core) < 14 and (more := self.named.get(core.lower())) is not None and core.isalpha():
+            self.rows[k] += more
         return k
 
-    def _rows(self, word: str, nameless: bool) -> np.ndarray:
-        """The vectors of a word, with or without what its very letters say."""
-        own, near = ([f for f in names if not (nameless and f.startswith(("word=", "said=")))] for names in (word_features(word), near_features(word)))
-        return np.stack([self._sum(view, near if v else own) for v, view in enumerate(self.VIEWS)])
-
-    def scores(self, words: list[list[str]]) -> list[np.ndarray]:
-        """Emission scores of all words of each text. Vectors of distinct words are remembered up to a number of characters."""
-        if len(self.known) > 400_000 or self.held > 1 << 24:
+    def scores(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Emission scores of all words of some texts in a row, and where each text begins; two rows between texts, and before
+        the first and after the last, are outside. Vectors of distinct words are remembered up to a number of words."""
+        if len(self.known) > MOST_KNOWN or self.known.chars > MOST_KNOWN_CHARS:
             self._forget()
-        known, make = self.known, self._vectors
-        edge = [self._sum(v, ["none"]) for v in self.VIEWS]
-        out = []
-        for own in words:
-            ids = np.array([known[w] if w in known else make(w) for w in own], dtype=np.int64)
-            em = self.rows[ids, 0]
-            if len(ids):
-                em[1:] += self.rows[ids[:-1], 1]
-                em[0] += edge[1]
-                em[2:] += self.rows[ids[:-2], 2]
-                em[:2] += edge[2]
-                em[:-1] += self.rows[ids[1:], 3]
-                em[-1] += edge[3]
-            out.append(em)
-        return out
-
-    def label(self, ems: list[np.ndarray]) -> list[list[tuple[int, list[int]]]]:
+        ids = np.zeros(2 + sum(len(own) + 2 for own in words), np.int64)
+        begin, at = np.zeros(len(words), np.int64), 2
+        for k, own in enumerate(words):
+            begin[k] = at
+            ids[at : at + len(own)] = list(map(self.known.__getitem__, own))
+            at += len(own) + 2
+        em = self.rows[ids, 0]
+        em[1:] += self.rows[ids[:-1], 1]
+        em[2:] += self.rows[ids[:-2], 2]
+        em[:-1] += self.rows[ids[1:], 3]
+        return em, begin
+
+    def label(self, words: list[list[str]]) -> list[list[tuple[int, list[int]]]]:
         """(first word, labels) of the runs of each text that may hold anything; all other words are O."""
-        runs, where = [], []
-        for k, em in enumerate(ems):
-            if not len(em):
-                continue
+        out: list[list[tuple[int, list[int]]]] = [[] for _ in words]
+        first = 0
+        while first < len(words):  # some tens of thousands of words at once
+            last, n = first + 1, len(words[first])
+            while last < len(words) and n + len(words[last]) < 50_000:
+                n += len(words[last])
+                last += 1
+            em, begin = self.scores(words[first:last])
             # x: most that a word can add to a run of other labels; a word may be in one if some run around it gains
-            x = em[:, 1:].max(axis=1) - em[:, 0] + self.inner
+            x = em[:, 1:].max(axis=1).astype(np.float64) - em[:, 0] + self.inner
             upto = np.concatenate(([0.0], np.cumsum(x)))
             left = upto[1:] - np.minimum.accumulate(upto[:-1])
             right = np.maximum.accumulate(upto[:0:-1])[::-1] - upto[:-1]
-            unsure = np.concatenate(([False], left + right - x + self.ends >= -1e-6, [False]))
-            turn = np.flatnonzero(unsure[1:] != unsure[:-1])
-            for a, z in zip(turn[::2].tolist(), turn[1::2].tolist()):
-                runs.append((em[a:z], a == 0, z == len(em)))
-                where.append((k, a))
-        out: list[list[tuple[int, list[int]]]] = [[] for _ in ems]
-        for (k, a), ys in zip(where, self.decode(runs)):
-            out[k].append((a, ys))
+            turn = np.flatnonzero(np.diff(left + right - x + self.ends >= -1e-3, prepend=False, append=False))
+            starts, stops = turn[::2], turn[1::2]
+            whose = np.searchsorted(begin, starts, side="right") - 1
+            size = np.array([len(w) for w in words[first:last]])
+            runs = [(em[a:z], a == begin[k], z == begin[k] + size[k]) for a, z, k in zip(starts, stops, whose)]
+            for k, a, ys in zip(whose.tolist(), starts.tolist(), self.decode(runs)):
+                out[first + k].append((a - int(begin[k]), ys))
+            first = last
         return out
 
     def decode(self, runs: list[tuple[np.ndarray, bool, bool]]) -> list[list[int]]:
@@ -405,7 +424,7 @@ def crf_spans(texts: list[str], f: Field) -> list[list[Span]]:
     """Spans that the field finds in each text, without quotes and punctuation around them and what an equals sign names."""
     words = [_TOKEN.findall(t) for t in texts]
     out: list[list[Span]] = [[] for _ in texts]
-    for k, runs in enumerate(f.label(f.scores(words))):
+    for k, runs in enumerate(f.label(words)):
         runs = [(a, ys) for a, ys in runs if any(ys)]
         if not runs:
             continue
