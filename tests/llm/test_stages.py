@@ -1,10 +1,14 @@
 """Every pipeline stage over awkward tables: nulls, empty and long texts, repeated rows, clashing columns, no rows."""
 
 import random
+import re
+from math import ceil
 
 import pytest
+import xxhash
 
 import corpus_pipeline
+from tracklore.llm import mixing, sentence_pieces, simhash
 
 RNG = random.Random(5)
 WORDS = [f"w{i}" for i in range(4000)]
@@ -57,3 +61,117 @@ def test_quality_stage_judges_each_row(spark):
     name, stage = corpus_pipeline.STAGES[0]
     assert name == "quality_rules"
     assert sorted(map(repr, (tuple(r) for r in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()))) == sorted(map(repr, [*ROWS, ODD[5]]))
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_quality(docs):
+    """{id: text} of what stays, from {id: (text, host)}."""
+    norm = lambda line: " ".join(words_of(line)).lower()
+    holders = {}
+    for i, (text, host) in docs.items():
+        for line in {norm(x) for x in (text or "").split("\n")} - {""}:
+            holders.setdefault((host, line), []).append(i)
+    hosts = [h for _, h in docs.values()]
+    common = {k: min(v) for k, v in holders.items() if len(v) > 20 and len(v) > 0.01 * hosts.count(k[0])}
+    out = {}
+    for i, (text, host) in docs.items():
+        w = words_of(text)
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        seen = {}
+        for x in windows:
+            seen[x] = seen.get(x, 0) + 1
+        repeat = {k + j for k, x in enumerate(windows) if seen[x] > 1 for j in range(5)}
+        left = [x for x in (text or "").split("\n") if common.get((host, norm(x)), i) == i]
+        n = sum(len(words_of(x)) for x in left)
+        if len(w) >= 10 and 100 * len(repeat) <= 20 * len(w) and n >= max(10, 0.3 * len(w)):
+            out[i] = "\n".join(left)
+    return out
+
+
+def plain_passages(docs, every=3, least=51):
+    units = {}
+    for i, text in docs.items():
+        lines = [(k, x, len(words_of(x))) for k, x in enumerate(text.split("\n")) if words_of(x)]
+        low = [xxhash.xxh64_intdigest(x.encode(), 42) & (1 << 28) - 1 for _, x, _ in lines]
+        n = len(lines)
+        ends = [k for k in range(n) if k == n - 1 or (k > 0 and (low[k - 1] * 31 + low[k]) % every == 0)]
+        own = {(a, b) for a, b in zip([0] + [e + 1 for e in ends], ends) if b > a}
+        for k in range(n):
+            ahead = next((e for e in range(k, n) if sum(w for *_, w in lines[k : e + 1]) >= least), None)
+            behind = next((a for a in range(k, -1, -1) if sum(w for *_, w in lines[a : k + 1]) >= least), None)
+            own |= ({(k, ahead)} if ahead is not None else set()) | ({(behind, k)} if behind is not None else set())
+        for a, b in own:
+            units.setdefault(tuple(x for _, x, _ in lines[a : b + 1]), set()).add((i, lines[a][0], lines[b][0]))
+    gone = {}
+    for places in units.values():
+        for i, a, b in places - {min(places)}:
+            gone.setdefault(i, set()).update(range(a, b + 1))
+    out = {}
+    for i, text in docs.items():
+        left = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(i, ()))
+        if i not in gone or words_of(left):
+            out[i] = left
+    return out
+
+
+def plain_near(docs):
+    sets, stay = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in docs.items()}, []
+    for i in sorted(docs):
+        if not any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    return {i: docs[i] for i in stay}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every row of run() against the five stages in plain Python: texts, epochs of the mix, token ids."""
+    rng = random.Random(17)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    board, passage, short = line(9), [line(14) for _ in range(6)], [line(6) for _ in range(3)]
+    docs = {}
+    for i in range(160):
+        body = [line(rng.randint(4, 16)) for _ in range(rng.randint(1, 9))]
+        if i % 3 == 0:
+            body.insert(0, board)
+        if i % 7 == 1:
+            k = rng.randrange(len(body) + 1)
+            body[k:k] = passage[rng.randint(0, 2) :]
+        if i % 11 == 2:
+            body += ["", *short, " "]
+        docs[i] = ("\n".join(body), ("a", "b", None)[0 if i % 10 < 6 else 1 + i % 2])
+    for i in range(160, 200):  # near copies, a word of each eighty changed
+        w = docs[rng.randrange(160)][0].split(" ")
+        for k in range(rng.randint(0, 79), len(w), 80):
+            w[k] = f"n{i}"
+        docs[i] = (" ".join(w), "b")
+    docs |= {200: docs[5], 201: (None, "a"), 202: ("few words", "a"), 203: ("so so so so so " * 9, None), 204: (docs[9][0].upper(), "c")}
+    base = [line(40) for _ in range(4)]  # one line each: too short for a passage
+    docs |= {210 + i: (base[i % 4].rsplit(" ", 1)[0] + f" end{i}", "b") for i in range(12)}
+    spark.createDataFrame([(i, t, "en", h, 0) for i, (t, h) in docs.items()], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    good = plain_quality(docs)
+    cut = plain_passages(good)
+    kept = plain_near(cut)
+    assert len(docs) > len(good) >= len(cut) >= len(kept) + 8 and sum(cut[i] != good[i] for i in cut) > 20 and sum(good[i] != docs[i][0] for i in good) > 20
+    host = {i: docs[i][1] or "" for i in kept}
+    sizes = {h: sum(x == h for x in host.values()) for h in set(host.values())}
+    names = sorted(sizes)
+    weights = mixing.default_weights(sizes)
+    parts, whole = mixing.exact([weights[n] for n in names])
+    blocks = [ceil(sizes[n] / 8) for n in names]
+    slots = max(-(-b * whole // p) for b, p in zip(blocks, parts))
+    sent = mixing.frames(parts, whole, slots, slots)[-1][3]
+    with open(sentence_pieces.MODEL, "rb") as f:
+        pieces = sentence_pieces.load(f.read())
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = {}
+    for r in rows:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert r.text == kept[r.doc_id] and list(r.token_ids) == pieces.encode(r.text) and r.n_tokens == len(r.token_ids)
+    assert set(times) == set(kept)
+    for n, b, c in zip(names, blocks, sent):
+        own = sorted(times[i] for i in kept if host[i] == n)
+        full, rest = divmod(c, b)
+        again = min(len(own), 8 * rest)  # the last epoch may stop after some blocks, the last of which may be short
+        assert set(own) <= {full, full + 1} and own.count(full + 1) == again

@@ -253,9 +253,11 @@ def test_labels_of_a_text_equal_enumeration():
     vocab = ["the", "password", "is", "hunter22", "5551234567", "(212)", "555-0147", "x@y", "a" * 32, "key=abc1", "4111", "DE44", "of"]
     texts = [[rng.choice(vocab) for _ in range(rng.randint(1, 3))] for _ in range(60)]
     n = f.emit.shape[1]
-    for words, em, runs in zip(texts, f.scores(texts), f.label(f.scores(texts))):
+    every, begin = f.scores(texts)
+    for words, a, runs in zip(texts, begin, f.label(texts)):
+        em = every[a : a + len(words)].astype(float)
         slow = np.array([sum((f.emit[i] for x in f.names(words, k) if (i := f.index.get(x)) is not None), np.zeros(n)) for k in range(len(words))])
-        assert np.allclose(em, slow)
+        assert np.allclose(em, slow, atol=1e-4)
         ys = [0] * len(words)
         for a, part in runs:
             ys[a : a + len(part)] = part

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.session import ready
+from tracklore.session import ready, shared_folder
 
 #: The white space of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -31,15 +28,9 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, by spark.checkpoint.dir. Without that setting a session on one machine
-    has a folder of its own; on a cluster nothing else is known to be shared, so it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder
+def drop_folder(spark: SparkSession, path: str) -> None:
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    here.getFileSystem(spark._jsc.hadoopConfiguration()).delete(here, True)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner", n: int = 16) -> DataFrame:
