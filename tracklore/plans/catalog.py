@@ -85,6 +85,13 @@ def alternating_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.element_at(F.split("traj_id", "/"), -1).cast("long").alias("conv_id"), "skip_reason", F.when(F.col("steps").isNotNull(), F.size("steps")).alias("n_steps"))
 
 
+@query("skip_counts", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
+SELECT CASE WHEN len(r) = 2 AND r[1] = 'system' AND r[2] = 'user' THEN 'empty' WHEN len(r) < 3 OR r[1] <> 'system' OR r[2] <> 'user' THEN 'unexpected message prefix'
+ WHEN len(list_filter(range(3, len(r) + 1), lambda i: r[i] <> CASE WHEN i % 2 = 1 THEN 'assistant' ELSE 'user' END)) > 0 THEN 'roles do not alternate' END AS skip_reason, count(*) AS n FROM c GROUP BY 1""")
+def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.skip_counts(alternating_convert(spark, sf_dir))
+
+
 @query("tool_result_lookup", """SELECT user_id, i, action, observation FROM (SELECT e.user_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS i,
  'task_tracker ' || event_type AS action, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(value AS VARCHAR) END AS observation FROM events e WHERE event_type IN ('click', 'view'))""")
 def tool_result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,10 @@ def guard_stream(steps: DataFrame, cfg: GuardianConfig = GuardianConfig(), mode:
 
 
 class _Track(StatefulProcessor):
-    """Keeps a run's steps and gives its prefix after each new one."""
+    """Keeps a run's steps and gives its prefix after each new one, or the last `most` steps of it."""
+
+    def __init__(self, most: int | None) -> None:
+        self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.steps = handle.getListState("steps", "step int, action string, observation string")
@@ -70,17 +73,18 @@ class _Track(StatefulProcessor):
         for x in zip(fresh["step"], fresh["action"], fresh["observation"]):
             held.append((int(x[0]), x[1], x[2]))
             self.steps.appendValue(held[-1])
-            out.append((key[0], int(x[0]), len(held), [{"action": a, "observation": o} for _, a, o in held]))
+            out.append((key[0], int(x[0]), len(held), [{"action": a, "observation": o} for _, a, o in (held[-self.most :] if self.most else held)]))
         yield pd.DataFrame(out, columns=["run_id", "step", "prefix_len", "steps"])
 
     def close(self) -> None:
         pass
 
 
-def track_stream(steps: DataFrame) -> DataFrame:
-    """(run_id, step, prefix_len, steps) for a stream of run_id, step, action, observation: what a scorer gets."""
+def track_stream(steps: DataFrame, most: int | None = None) -> DataFrame:
+    """(run_id, step, prefix_len, steps) for a stream of run_id, step, action, observation: what a scorer gets. With `most`,
+    only the last so many steps go out each time, which keeps the output of long runs in proportion to their steps."""
     return steps.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_Track(), outputStructType="run_id long, step int, prefix_len int, steps array<struct<action:string,observation:string>>", outputMode="append", timeMode="None"
+        statefulProcessor=_Track(most), outputStructType="run_id long, step int, prefix_len int, steps array<struct<action:string,observation:string>>", outputMode="append", timeMode="None"
     )
 
 
