@@ -6,8 +6,8 @@ text and declaration are summed per level by grouped aggregation, and each level
 the level above. A row's own posterior is left out of its prior.
 
 The trigram models are fitted on at most `per_language` rows of each language; their number has no bound, and the model
-takes 256 KiB a language. Texts pass Python once and leave it as a few numbers, which are frozen; levels are joined with
-salt, so a hot host spreads over tasks.
+takes 256 KiB a language. Texts pass Python once and leave it as a few numbers, which are frozen; hosts that a large
+share of the rows have are joined in parts, so a hot host spreads over tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import bounded_batches, frozen, salted_join, table
+from tracklore.llm.common import bounded_batches, frozen, hot_join, hot_keys, table
 
 BUCKETS = 1 << 16
 _TAG_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
@@ -165,7 +165,11 @@ def fuse(rows: DataFrame, langs: list[str], weight: float) -> DataFrame:
     by_suffix = level.groupBy("suffix").agg(F.sum("n").alias("n2"), F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(k)]).alias("s2"))
     whole = level.agg(F.sum("n"), *[F.sum(F.element_at("s", i + 1)) for i in range(k)]).first()
     level = level.join(by_suffix, "suffix").withColumns({"n1": F.lit(whole[0]).cast("long"), "s1": F.array(*[F.lit(x).cast("double") for x in whole[1:]])})
-    out = salted_join(rows, level, ["suffix", "host"], F.col("key"))
+    place = F.xxhash64("suffix", "host")
+    rows = rows.withColumn("place", place)
+    level = level.withColumn("place", place).withColumnsRenamed({"suffix": "its_suffix", "host": "its_host"})
+    same = (F.col("suffix") == F.col("its_suffix")) & (F.col("host") == F.col("its_host"))
+    out = hot_join(rows, level, "place", hot_keys(rows, "place"), F.xxhash64("key"), same)
     w = F.lit(float(weight))
     out = out.withColumn("p1", F.expr(f"transform(s1, (x, i) -> (x - both_p[i] + 1.0D / {k}) / (n1 - 1 + 1))"))
     out = out.withColumn("p2", F.zip_with(F.zip_with("s2", "both_p", lambda x, b: x - b), "p1", lambda x, p: (x + w * p) / (F.col("n2") - 1 + w)))
