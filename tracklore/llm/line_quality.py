@@ -129,7 +129,9 @@ def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text has no words, fails the base rules and is not kept, as does an empty one; a null host is one host of its
     own. Rows with a null id count as documents but never own a boilerplate line. Repeated rows count as documents each.
-    Two lines of one host whose 64-bit hashes collide count as one line. Extra columns are ignored.
+    Two lines of one host whose 64-bit hashes collide count as one line. Very long texts are read whole, in time linear in
+    their words; a task holds a batch of them. An empty table gives an empty result. Extra columns are ignored, whatever
+    their names.
     """
     return _judged(df, id_col, text_col, host_col, **limits).drop("mark", "cut").withColumnRenamed("id", id_col)
 
