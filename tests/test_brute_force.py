@@ -414,3 +414,36 @@ def test_heuristic_scores(spark):
     x = dict.fromkeys(features.FEATURES, 0.0) | {"prefix_len": 4.0, "recent_error_lines": 2.0, "stuck_rule": 1.0, "recent_repeat_actions": 3.0, "last_passed": 5.0, "last_failed": 1.0, "progress_rule": 2.0}
     d = spark.createDataFrame([(tuple(x.values()),)], f"features_by_name struct<{', '.join(f'{k}: double' for k in x)}>")
     assert d.select(*[c.alias(n) for n, c in features.heuristic_scores().items()]).first().asDict() == {"few_steps": -4.0, "few_errors": -2.0, "not_stuck": -6.0, "tests_pass": 8.0}
+
+
+def test_logits_dispatch_and_given_prefixes(spark):
+    from tracklore.functions import arrays
+    from tracklore.operators import losses
+
+    d = spark.createDataFrame([("score", [0.2, 0.3, 0.5], 1, [1.0, 2.0, 3.0]), ("noul", [0.2, 0.0, 0.8], 2, None)], "type string, p array<double>, label int, z array<double>")
+    got = losses.question_loss(d.withColumn("made", arrays.logits(F.col("p"), F.col("z")))).collect()
+    cuts = [-math.log(0.8), -math.log(1 - 0.5)]
+    assert got[0].loss == pytest.approx(sum(cuts) / 2 - 0.5 * math.log(0.3)) and got[0].made == [1.0, 2.0, 3.0]
+    assert got[1].loss == pytest.approx(-math.log(0.8)) and got[1].made == pytest.approx([math.log(0.2), math.log(1e-9), math.log(0.8)])
+    runs = spark.createDataFrame([("a", ["x"] * 8)], "traj_id string, steps array<string>")
+    assert [(r.prefix_len, r.n_steps, r.prefix_frac) for r in labels.expand_prefixes(runs, F.array(F.lit(3), F.lit(8))).collect()] == [(3, 8, 0.375), (8, 8, 1.0)]
+
+
+def test_tiers_of_sets(spark):
+    rows = [("a", "t", True, ["x", "y", "z"]), ("b", "t", False, ["x", "q", "r"]), ("c", "t", False, ["m", "n", "z"])]
+    d = spark.createDataFrame([(*r, r[3]) for r in rows], "traj_id string, task_id string, outcome boolean, norm array<string>, fam array<string>")
+    sets = candidates.candidate_sets(d.select("traj_id", "task_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("prefix_len")), d)
+    count = {}
+    runs = {r[0]: (r[2], r[3], r[3]) for r in rows}
+    for r in runs:
+        for n in (1, 2):
+            if got := plain_set(runs, r, n, 4, 2, 0.5, "0"):
+                count[got[2]] = count.get(got[2], 0) + 1
+    assert {r.tier: r.n for r in stats.frequency(sets, "tier").collect()} == count and count
+
+
+def test_used_and_kept_keys(spark):
+    d = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "id string, n int")
+    keys = spark.createDataFrame([("a",), ("a",), ("z",)], "id string")
+    assert [r.n for r in splits.only(d, keys, "id").collect()] == [1]
+    assert sorted(r.n for r in splits.without(d, keys, "id").collect()) == [2, 3, 4]

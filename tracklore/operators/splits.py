@@ -112,6 +112,16 @@ def per_class(df: DataFrame, k: int, seed: str, cls: str, key: str) -> DataFrame
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
+def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is listed; a key listed twice counts once."""
+    return df.join(keys.select(key), key, "left_semi")
+
+
+def without(df: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not listed, rows without a key among them."""
+    return df.join(used.select(key), key, "left_anti")
+
+
 def shuffled(df: DataFrame, seed: str, key: str) -> DataFrame:
     return df.orderBy(sigma_hash(seed, F.col(key)), key)
 

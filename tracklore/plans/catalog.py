@@ -287,6 +287,15 @@ def policy_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("run", splits.policy_shown("s6").alias("policy_shown"))
 
 
+@query("key_lists", f"WITH r AS ({OR}), u AS (SELECT DISTINCT task_id FROM r WHERE NOT outcome) SELECT CASE WHEN task_id IN (SELECT task_id FROM u) THEN 'kept' ELSE 'left' END AS side, count(*) AS n, count(DISTINCT task_id) AS tasks FROM r GROUP BY 1")
+def key_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tasks with a failed run, and of tasks without one."""
+    r = B.sql(spark, sf_dir, OR, "orders")
+    failed = r.where("NOT outcome")
+    both = splits.only(r, failed, "task_id").withColumn("side", F.lit("kept")).unionByName(splits.without(r, failed, "task_id").withColumn("side", F.lit("left")))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task_id").alias("tasks"))
+
+
 @query("outcome_pairs")
 def outcome_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.sql(spark, sf_dir, OR, "orders").select(F.col("run").cast("string").alias("id"), F.col("task_id"), F.lit("p").alias("policy_model"), "outcome", ((F.col("run") % 100) / 100.0).cast("double").alias("prefix_frac"))
