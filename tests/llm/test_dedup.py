@@ -187,7 +187,9 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == {0} | set(range(1 + len(near), 1 + len(near) + len(clean)))
 
 
-def test_stage_drops_only_what_is_similar_to_a_kept_row(spark):
+@pytest.mark.parametrize("in_order", [256, 0])
+def test_stage_drops_only_what_is_similar_to_a_kept_row(spark, monkeypatch, in_order):
+    monkeypatch.setattr(simhash, "IN_ORDER", in_order)
     rng = random.Random(13)
     word = lambda: f"w{rng.randrange(10**6)}"
     texts = []

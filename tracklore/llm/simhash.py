@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import WORD, bounded_batches, frozen, salted_join, set_aside, table
+from tracklore.llm.common import WORD, bounded_batches, frozen, hot_join, hot_keys, salted_join, set_aside, table, union
 
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -350,22 +350,27 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+#: Rows of a component that are read in order without another round.
+IN_ORDER = 256
+
+
 def near_copies(df: DataFrame, id_col: str, text_col: str, least: float = SIMILAR, **search: int) -> DataFrame:
     """(id, k) of the rows to drop, k being the xxhash64 of id and text: in each component, by (id, k), a row goes if its
     exact similarity with one that stays is at least `least`. Rows without an id take no part.
 
-    Rows meet the first of their component over a salted join, which clears groups of copies however large; only rows
-    unlike it are then read in order, component by component, against an index of those that stay."""
+    Rows meet the first of their component over a join that deals hot components in parts; those like it go. So do, with the
+    first of the others in its place, the rows that are left, as long as some component has many and a round clears a
+    tenth of them: a group of copies is cleared by a few firsts, however large. Only what is left then is read in order,
+    component by component, against an index of those that stay."""
     shingle = search["shingle"]
     bounded_batches(df.sparkSession)
     own = F.col(id_col).cast("long")
     rows = df.where(own.isNotNull()).select(own.alias("id"), F.xxhash64(own, F.col(text_col).isNull(), F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
     group = simhash_groups(rows, "k", "t", **search).select("k", F.col("component_id").alias("c")).distinct()
     group = frozen(rows.select("id", "k").distinct().join(group, "k"))
-    first = group.groupBy("c").agg(F.min(F.struct("id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    group = salted_join(group, first, ["c"], F.col("k"), n=4)
-    texts = frozen(rows.dropDuplicates(["id", "k"]).join(group, ["id", "k"]).select("c", "id", "k", "t", (F.struct("id", "k") == F.col("first")).alias("is_first")))
-    pairs = salted_join(texts.where("NOT is_first"), texts.where("is_first").select("c", F.col("t").alias("u")), ["c"], F.col("k"), n=4)
+    some = group.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    group = hot_join(group, some, "c", hot_keys(group, "c"), F.col("k"))
+    left = frozen(rows.dropDuplicates(["id", "k"]).join(group, ["id", "k"]).select("c", "id", "k", "t"))
 
     def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, it = None, np.zeros(0, np.uint64)
@@ -378,7 +383,17 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, least: float = SIMILA
                 near.append(t == u or similar(np.unique(shingle_hashes(t, shingle)), it, least))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([None if x else t for x, t in zip(near, ts)], pa.string()), pa.array(near, pa.bool_())], ["c", "id", "k", "t", "near"])
 
-    judged = frozen(pairs.select("c", "id", "k", "t", "u").mapInArrow(against_first, "c long, id long, k long, t string, near boolean"))
+    gone, before = [], left.count()
+    while True:
+        first = left.groupBy("c").agg(F.min(F.struct("id", "k", "t")).alias("first"))  # a task sends one text of each component
+        pairs = hot_join(left, first, "c", hot_keys(left, "c"), F.col("k")).where(F.struct("id", "k") != F.struct("first.id", "first.k")).select("c", "id", "k", "t", F.col("first.t").alias("u"))
+        judged = frozen(pairs.mapInArrow(against_first, "c long, id long, k long, t string, near boolean"))
+        gone.append(judged.where("near").select("id", "k"))
+        left = judged.where("NOT near").select("c", "id", "k", "t")
+        sizes = left.groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if (sizes[0] or 0) <= IN_ORDER or sizes[1] > 0.9 * before:
+            break
+        before = sizes[1]
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stay, index = None, [], {}
@@ -399,8 +414,8 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, least: float = SIMILA
             take = pa.array(gone, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take)], ["id", "k"])
 
-    rest = judged.where("NOT near").select("c", "id", "k", "t").repartition("c").sortWithinPartitions("c", "id", "k")
-    return judged.where("near").select("id", "k").unionByName(rest.mapInArrow(in_order, "id long, k long"))
+    rest = left.repartition("c").sortWithinPartitions("c", "id", "k")
+    return union([*gone, rest.mapInArrow(in_order, "id long, k long")])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
