@@ -465,7 +465,7 @@ def gbt_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(d)
     train, test = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
-    gbt = features.predict(features.boosted(train, "y", rounds=10), test, "p_gbt")
+    gbt = features.predict(features.boosted(train, "y"), test, "p_gbt")
     return features.predict(features.platt(train, "a", "y"), gbt, "p_platt").select("doc_id", "y", "p_gbt", "p_platt", F.lit(features.prior(train, "y")).alias("p_prior"))
 
 
