@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklore.llm import chat_format, exact_dedup, language_id, line_dedup, line_quality, mixing, pii, sentence_pieces, simhash, toxicity
+from tracklore.llm import chat_format, exact_dedup, importance, language_id, line_dedup, line_quality, mixing, pii, quality, sentence_pieces, simhash, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_personal_data": pii.op9_personal_data,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_quality": quality.op11_quality,
+    "op12_importance": importance.op12_importance,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE = {
@@ -22,4 +25,6 @@ ORACLE = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_line_quality": line_quality.OP7_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op12_importance": importance.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
