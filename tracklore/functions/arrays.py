@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,26 @@ def sigma_hash(seed: Column | str, *keys: Column) -> Column:
     seed = F.lit(seed) if isinstance(seed, str) else seed
     h = F.sha1(F.concat_ws(":", seed, *[k.cast("string") for k in keys]))
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def cumulative(arr: Column) -> Column:
+    """Sums of the first 0, 1, ... all elements of an array of integers, as longs: log2(size) passes, each of which adds the sums
+    that end twice as far away as in the pass before."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(arr), F.lit(1)))).cast("int"))
+
+    def add(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long")))
+
+    return F.concat(F.array(F.lit(0).cast("long")), F.aggregate(passes, F.transform(arr, lambda x: x.cast("long")), add))
+
+
+def least_where(lo: Column, hi: Column, holds: Callable[[Column], Column]) -> Column:
+    """The least integer from lo to hi where a condition holds that holds for hi and, once it does, for all above: bisection."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int"))
+
+    def half(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.coalesce(holds(middle), F.lit(False))
+        return F.when(at["lo"] >= at["hi"], at).when(below, F.struct(at["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), at["hi"].alias("hi")))
+
+    return F.aggregate(halvings, F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")), half)["lo"]

@@ -126,9 +126,9 @@ def shuffled(df: DataFrame, seed: str, key: str) -> DataFrame:
     return df.orderBy(sigma_hash(seed, F.col(key)), key)
 
 
-def policy_shown(seed: str, rate: float = 0.3, unknown: str = "unknown") -> Column:
-    """The policy's name, or `unknown` for a share of the prefixes."""
-    return F.when(sigma_hash(seed, F.col("traj_id"), F.col("prefix_len")) < rate, F.lit(unknown)).otherwise(F.col("policy_model"))
+def policy_shown(seed: str, rate: float = 0.3, unknown: str = "unknown", length: Column | None = None) -> Column:
+    """The policy's name, or `unknown` for a share of the prefixes. `length` is the prefix's, by default of its row."""
+    return F.when(sigma_hash(seed, F.col("traj_id"), F.col("prefix_len") if length is None else length) < rate, F.lit(unknown)).otherwise(F.col("policy_model"))
 
 
 def strict_prefixes(df: DataFrame, last_action: Column) -> DataFrame:

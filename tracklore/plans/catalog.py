@@ -445,15 +445,23 @@ def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("render_state")
 def render_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = labels.expand_prefixes(B.order_runs(spark, sf_dir))
-    return state.render_states(p, state.StateConfig(budget=220, recent_steps=3)).select("traj_id", "prefix_len", "state", "state_tokens")
+    runs = state.with_states(B.order_runs(spark, sf_dir), F.sequence(F.lit(1), F.size("steps")), state.StateConfig(budget=220, recent_steps=3))
+    return runs.select("traj_id", F.inline("states"))
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled prefixes with their states, shown policies and rule labels; steps stay in their run's row."""
+    shown = lambda n: splits.policy_shown("s6", length=n)
+    d = labels.derive(B.order_runs(spark, sf_dir)).withColumn("lens", labels.prefix_lengths(F.size("steps"), seed="r", key=F.col("traj_id")))
+    d = state.with_states(d.drop("task_id", "repo_or_site"), F.col("lens"), policy=shown)
+    marks = F.transform("lens", lambda n: F.struct((F.size(labels.stuck(F.col("sig"), n)) > 0).alias("stuck"), labels.progress(F.col("sig"), n)["value"].alias("progress"), shown(n).alias("policy_shown")))
+    d = d.withColumn("marks", marks).select("traj_id", "outcome", F.explode(F.arrays_zip("states", "marks")).alias("x"))
+    return d.select(F.concat_ws("@", "traj_id", "x.states.prefix_len").alias("id"), F.col("outcome").cast("double").alias("y"), "x.states.*", "x.marks.*")
 
 
 @query("state_features")
 def state_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _records(spark, sf_dir).withColumn("policy_shown", splits.policy_shown("s6"))
-    s = features.add_features(state.render_states(r, policy=F.col("policy_shown")))
-    return s.select("id", "features_by_name.*")
+    return features.add_features(_rendered(spark, sf_dir)).select("id", "features_by_name.*")
 
 
 @query("gbt_baseline")
@@ -828,7 +836,7 @@ def answers_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("heuristics", None)
 def heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = features.add_features(state.render_states(_records(spark, sf_dir).withColumn("policy_shown", splits.policy_shown("s6")), policy=F.col("policy_shown")))
+    d = features.add_features(_rendered(spark, sf_dir))
     return d.select("id", *[c.alias(n) for n, c in features.heuristic_scores().items()])
 
 
