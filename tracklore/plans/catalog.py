@@ -625,6 +625,23 @@ def guardian_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+@query("guardian_reordered", GUARD)
+def guardian_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from steps that come shuffled, over several batches, every tenth of them twice; the log has each once."""
+    import uuid
+
+    from tracklore.streaming import guardian as G
+
+    root = f"{shared_folder(spark)}/reordered-{uuid.uuid4().hex}"
+    steps = B.sql(spark, sf_dir, EVENT_SCORES, "events")
+    again = steps.where(F.pmod(F.xxhash64("run_id", "step"), F.lit(10)) == 0)
+    steps.unionByName(again).repartition(4, F.xxhash64("step", "run_id")).write.parquet(f"{root}/in")
+    G.use_rocksdb(spark)
+    stream = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    G.log_decisions(G.ordered_guard_stream(stream, GUARD_CFG, wait=1 << 20, idle_ms=None), f"{root}/log", f"{root}/state", available_now=True).awaitTermination()
+    return G.read_log(spark, f"{root}/log")
+
+
 @query("decide_once", f"WITH s AS ({EVENT_SCORES}) SELECT run_id, step, CASE WHEN step < 5 THEN 'continue' WHEN coalesce(escalate >= 0.7, false) THEN 'escalate' WHEN coalesce(p_success < CASE WHEN run_id % 2 = 0 THEN 0.06 ELSE 0.12 END, false) THEN 'abort' WHEN coalesce(stuck >= 0.5, false) THEN 'escalate' ELSE 'continue' END AS decision FROM s")
 def decide_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.sql(spark, sf_dir, EVENT_SCORES, "events").withColumn("policy", F.when(F.col("run_id") % 2 == 0, "known").otherwise("other"))
