@@ -126,6 +126,16 @@ def shuffled(df: DataFrame, seed: str, key: str) -> DataFrame:
     return df.orderBy(sigma_hash(seed, F.col(key)), key)
 
 
+def with_place(df: DataFrame, seed: str, key: str, ranges: int = 1024) -> DataFrame:
+    """Adds place, from 1, in the order of `shuffled`: rows are numbered within ranges of the hash, after the rows of the ranges
+    before, so no task sees all rows. Keys are distinct."""
+    df = df.withColumn("_o", sigma_hash(seed, F.col(key))).withColumn("_r", F.floor(F.col("_o") * ranges).cast("int"))
+    sizes = df.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as ranges
+    df = df.join(F.broadcast(sizes.select("_r", before.alias("_before"))), "_r")
+    return df.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_r").orderBy("_o", key))).drop("_o", "_r", "_before")
+
+
 def policy_shown(seed: str, rate: float = 0.3, unknown: str = "unknown", length: Column | None = None) -> Column:
     """The policy's name, or `unknown` for a share of the prefixes. `length` is the prefix's, by default of its row."""
     return F.when(sigma_hash(seed, F.col("traj_id"), F.col("prefix_len") if length is None else length) < rate, F.lit(unknown)).otherwise(F.col("policy_model"))

@@ -93,10 +93,10 @@ def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tool_result_lookup", """SELECT user_id, i, action, observation FROM (SELECT e.user_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS i,
- 'task_tracker ' || event_type AS action, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(value AS VARCHAR) END AS observation FROM events e WHERE event_type IN ('click', 'view'))""")
+ 'task_tracker ' || event_type AS action, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(value AS VARCHAR) END AS observation FROM events e)""")
 def tool_result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls answered by results through ids, a third of them without one."""
-    e = B.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    e = B.table(spark, sf_dir, "events")
     call = F.struct(F.concat(F.lit("c"), "event_id").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("task_tracker").alias("name"), F.to_json(F.struct(F.col("event_type").alias("command"))).alias("arguments")).alias("function"))
     none = F.lit(None).cast("string")
     msg = lambda role, content, calls, cid: F.struct(F.lit(role).alias("role"), content.alias("content"), calls.alias("tool_calls"), none.alias("name"), cid.alias("tool_call_id"))
@@ -403,10 +403,19 @@ def prefix_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("stuck_reasons", F.array_join("stuck_reasons", "; "))
 
 
-@query("relabel_changes", f"WITH r AS ({OR}) SELECT CAST(0 AS BIGINT) AS escalate, count(*) FILTER (run % 5 = 0) AS p_success, CAST(0 AS BIGINT) AS progress, CAST(0 AS BIGINT) AS steps_left, CAST(0 AS BIGINT) AS stuck FROM r")
+@query("relabel_changes", f"""WITH r AS ({OR}), o AS (SELECT *, CASE WHEN outcome THEN run % 4 END AS steps_left, CASE WHEN run % 3 <> 0 THEN NOT outcome END AS escalate FROM r)
+SELECT count(*) FILTER (run % 5 = 0) AS p_success, count(*) FILTER (run % 11 = 0) AS stuck, count(*) FILTER (run % 6 = 0) AS progress, count(*) FILTER (run % 9 = 0 AND steps_left IS NOT NULL) AS steps_left,
+ count(*) FILTER (run % 8 = 0 AND escalate IS DISTINCT FROM true) AS escalate FROM o WHERE run % 10 <> 3""")
 def relabel_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = B.sql(spark, sf_dir, OR, "orders").select(F.col("run").alias("id"), F.col("outcome").alias("p_success"), F.lit(False).alias("stuck"), F.lit(1).alias("progress"), F.lit(None).cast("int").alias("steps_left"), F.lit(None).cast("boolean").alias("escalate"))
-    fresh = old.withColumn("p_success", F.when(F.col("id") % 5 == 0, ~F.col("p_success")).otherwise(F.col("p_success")))
+    """Labels of all five questions made anew for nine runs of ten; the others keep theirs."""
+    k = F.col("id")
+    old = B.sql(spark, sf_dir, OR, "orders").select(F.col("run").alias("id"), F.col("outcome").alias("p_success"), (F.col("run") % 2 == 0).alias("stuck"), (F.col("run") % 4).cast("int").alias("progress"),
+        F.when(F.col("outcome"), (F.col("run") % 4).cast("int")).alias("steps_left"), F.when(F.col("run") % 3 != 0, ~F.col("outcome")).alias("escalate"))
+    new = lambda c, x, when: F.when(when, x).otherwise(F.col(c)).alias(c)
+    fresh = old.where(k % 10 != 3).select(
+        "id", new("p_success", ~F.col("p_success"), k % 5 == 0), new("stuck", ~F.col("stuck"), k % 11 == 0), new("progress", (F.col("progress") + 1) % 4, k % 6 == 0),
+        new("steps_left", F.lit(None).cast("int"), k % 9 == 0), new("escalate", F.lit(True), k % 8 == 0),
+    )
     return labels.relabel(old, fresh)[1]
 
 
@@ -664,13 +673,13 @@ MET = SIM + ", met AS (SELECT thr, count(*) AS runs, count(*) FILTER (outcome AN
 
 @query("abort_grid", PT + MET + " SELECT thr, runs, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(saved, 6) AS steps_saved FROM met")
 def abort_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir), simulate.thresholds()))
+    m = simulate.abort_table(_points(spark, sf_dir), simulate.thresholds())
     return m.select("thr", "runs", r6("fpr", "fpr"), r6("recall", "recall"), r6("steps_saved", "steps_saved"))
 
 
 @query("abort_thresholds", PT + MET + " SELECT budget::DOUBLE AS budget, coalesce(max(thr) FILTER (fpr <= budget), 0.0) AS threshold FROM met, (SELECT unnest([0.05, 0.1, 0.25]::DOUBLE[]) AS budget) GROUP BY budget")
 def abort_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.pick_thresholds(simulate.abort_metrics(simulate.abort_runs(_points(spark, sf_dir), simulate.thresholds())))
+    return simulate.pick_thresholds(simulate.abort_table(_points(spark, sf_dir), simulate.thresholds()))
 
 
 @query("policy_operating_points", PT + GRID + """, sim AS (SELECT policy, run % 2 AS half, thr, run, any_value(outcome) AS o, any_value(n_steps) AS n, min(prefix_len) FILTER (prefix_frac >= 0.2 AND p < thr) AS a FROM pt, grid GROUP BY policy, half, thr, run),
@@ -752,9 +761,9 @@ def _scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), "variant", F.inline(F.array(*rows)))
 
 
-def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the documents of some languages, with labels of their own: some masked, some unknown options."""
-    d = B.table(spark, sf_dir, "documents").where("lang <> 'es'")
+def _document_records(spark: SparkSession, sf_dir: str, known: str = "true") -> DataFrame:
+    """Records of documents, with labels of their own: some masked, some unknown options. `known` says which have one."""
+    d = B.table(spark, sf_dir, "documents").where(known)
     k = F.col("doc_id")
     return d.select(
         k.alias("id"), "source", F.when(F.col("lang") == "de", "tool").otherwise("swe").alias("domain"), ((k % 100) / 100.0).cast("double").alias("prefix_frac"), F.when(k % 5 != 0, k % 2 == 0).alias("p_success"),
@@ -766,7 +775,7 @@ def _document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE documents.lang <> 'es' AND coalesce(variant, 'clean') = 'clean') GROUP BY question""")
 def known_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean rows with a record, and what their records say."""
-    records = _document_records(spark, sf_dir)
+    records = _document_records(spark, sf_dir, "lang <> 'es'")
     d = evaluation.with_record(evaluation.known_rows(_scored_rows(spark, sf_dir), records), records, ["prefix_frac"])
     return d.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prefix_frac"), 6).alias("frac"))
 
@@ -775,7 +784,7 @@ def known_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS id, 'p_success' AS question, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label FROM j WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'progress', CAST(doc_id % 4 AS INTEGER) FROM j WHERE doc_id % 7 <> 0
 UNION ALL SELECT doc_id, 'best_next', CASE WHEN doc_id % 4 = 0 THEN CAST(quality AS INTEGER) ELSE CAST(doc_id % 4 - 1 AS INTEGER) END FROM j""")
 def fresh_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = evaluation.with_fresh_labels(_scored_rows(spark, sf_dir), _document_records(spark, sf_dir), ["p_success", "progress", "best_next"])
+    d = evaluation.with_fresh_labels(_scored_rows(spark, sf_dir), _document_records(spark, sf_dir, "lang <> 'es'"), ["p_success", "progress", "best_next"])
     return d.select("id", "question", "label")
 
 
@@ -794,7 +803,7 @@ def raw_and_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.raw_and_calibrated(d.where("id % 2 = 0"), d.where("id % 2 = 1"), least_rows=10)
 
 
-@query("question_masks", "SELECT doc_id AS id, CASE WHEN lang <> 'de' AND doc_id % 7 <> 0 THEN CAST(doc_id % 4 AS INTEGER) END AS progress FROM documents WHERE lang <> 'es'")
+@query("question_masks", "SELECT doc_id AS id, CASE WHEN coalesce(lang <> 'de', true) AND doc_id % 7 <> 0 THEN CAST(doc_id % 4 AS INTEGER) END AS progress FROM documents")
 def question_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question kept, and masked in one domain."""
     d = evaluation.mask_question(_document_records(spark, sf_dir), "progress", "tool")
@@ -857,13 +866,10 @@ def heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", *[c.alias(n) for n, c in features.heuristic_scores().items()])
 
 
-@query("shuffle_order", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {h01('s9', 'doc_id')}, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 200")
+@query("shuffle_order", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {h01('s9', 'doc_id')}, doc_id) AS BIGINT) AS place FROM documents")
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 of the shuffled documents, by place."""
-    from pyspark.sql import Window
-
-    d = splits.shuffled(B.table(spark, sf_dir, "documents").select("doc_id"), "s9", "doc_id").limit(200)
-    return d.select("doc_id", F.row_number().over(Window.orderBy(A.sigma_hash("s9", F.col("doc_id")), "doc_id")).alias("place"))
+    """The place of every document in a seeded shuffle."""
+    return splits.with_place(B.table(spark, sf_dir, "documents").select("doc_id"), "s9", "doc_id")
 
 
 @query("run_content", f"SELECT min(run) AS run, count(*) AS copies FROM (SELECT run, string_agg(chr(31) || action || chr(30) || observation, '' ORDER BY i) AS body FROM ({OS}) GROUP BY run) GROUP BY body")
