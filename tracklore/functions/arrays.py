@@ -79,15 +79,21 @@ def sigma_hash(seed: Column | str, *keys: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def cumulative(arr: Column) -> Column:
-    """Sums of the first 0, 1, ... all elements of an array of integers, as longs: log2(size) passes, each of which adds the sums
-    that end twice as far away as in the pass before."""
+def scanned(arr: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Each element joined by `both`, an associative operation, with all before it: log2(size) passes, each of which joins an element
+    with what the pass before has made of the one twice as far away."""
     passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(arr), F.lit(1)))).cast("int"))
 
-    def add(sums: Column, k: Column) -> Column:
-        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long")))
+    def join(made: Column, k: Column) -> Column:
+        away = lambda i: F.get(made, i - F.call_function("shiftleft", F.lit(1), k))
+        return F.transform(made, lambda x, i: F.coalesce(both(x, away(i)), x))
+
+    return F.aggregate(passes, arr, join)
 
-    return F.concat(F.array(F.lit(0).cast("long")), F.aggregate(passes, F.transform(arr, lambda x: x.cast("long")), add))
+
+def cumulative(arr: Column) -> Column:
+    """Sums of the first 0, 1, ... all elements of an array of integers, as longs."""
+    return F.concat(F.array(F.lit(0).cast("long")), scanned(F.transform(arr, lambda x: x.cast("long")), lambda x, y: x + y))
 
 
 def least_where(lo: Column, hi: Column, holds: Callable[[Column], Column]) -> Column:

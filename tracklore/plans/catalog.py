@@ -356,7 +356,7 @@ r AS (SELECT run, i, CASE WHEN passed IS NOT NULL AND pp IS NOT NULL AND failed
  WHEN err IS NOT NULL AND err = pe THEN '0same error as previous step' WHEN err IS NOT NULL THEN '1command errored' ELSE '1no signal' END AS x FROM q)
 SELECT run, CAST(i AS INTEGER) AS prefix_len, CAST(substr(x, 1, 1) AS INTEGER) AS progress, substr(x, 2) AS reason FROM r""")
 def progress_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = labels.all_prefixes(labels.derive(B.event_runs(spark, sf_dir)), labels.progress, "x", "run")
+    d = labels.all_progress(labels.derive(B.event_runs(spark, sf_dir)), "x", "run")
     return d.select("run", "prefix_len", F.col("x.value").alias("progress"), F.col("x.reason").alias("reason"))
 
 
