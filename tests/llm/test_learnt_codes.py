@@ -263,3 +263,20 @@ def test_spans_do_not_cross_texts():
     data, edge = word_bytes.buffer(pa.array(["ab", "", None, "cd e", " f"]))
     at, size, row = word_bytes.spans(data, edge, ~quality.BLANK)
     assert [bytes(data[a : a + n]) for a, n in zip(at, size)] == [b"ab", b"cd", b"e", b"f"] and row.tolist() == [0, 3, 3, 4]
+
+
+# ------------------------------------------------------------------------------------------------ mixing rows of one id
+
+def test_rows_of_one_id_are_dealt_over_the_buckets(spark, monkeypatch):
+    from tracklore.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(None, "a", f"n{i}") for i in range(900)] + [(5, "a", f"f{i}") for i in range(500)] + [(i, "ab"[i % 2], f"t{i}") for i in range(10, 300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    out = mixing.mix(d, weights={"a": 1.0, "b": 1.0}).collect()
+    assert len({(r.slot, r.place) for r in out}) == len(out)
+    first = [r for r in out if r.epoch == 0]
+    assert sorted(r.text for r in first) == sorted(t for *_, t in rows)
+    nulls = sorted((r.slot, r.place) for r in first if r.doc_id is None)
+    others = sorted((r.slot, r.place) for r in first if r.source == "a" and r.doc_id is not None)
+    assert nulls[0] < others[200] and others[0] < nulls[200] and nulls[-1] > others[-200]  # in between, not one after the other

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import set_aside, table
+from tracklore.llm.common import frozen, set_aside, table
 from tracklore.session import ready
 
 BUCKET_ROWS = 2_000
+#: A bucket with the rows of so many holds an id that repeats.
+CROWD = 16
 #: Blocks and epochs whose slots travel as one array.
 CHUNK_BLOCKS, CHUNK_EPOCHS = 64, 64
 #: Frames times sources on the driver; frames get longer beyond.
@@ -163,7 +165,8 @@ def mix(
     weight without rows is ignored. A null source is a source named ''. Null texts, empty and very long ones are rows
     like any other: texts are not looked at. Rows with equal or null ids keep a defined place up to exchanges among rows
     that are equal in hash and id. An empty table gives an empty result. Other columns pass through, whatever their
-    names, but input columns slot, place and epoch give way to the results.
+    names, but input columns slot, place and epoch give way to the results. Where one id, or none, is on more rows than CROWD buckets
+    hold, those rows are dealt over the buckets by their number.
 
     The driver holds one row per source, as the weights are, and the counts at the ends of frames of `frame` slots or, for
     very long schedules, more.
@@ -192,9 +195,16 @@ def mix(
     turns = turns.select(F.col("k").alias("_k"), F.expr(f"(turn % _blocks) div {CHUNK_BLOCKS}").alias("_g"), F.expr(f"(turn div _blocks) div {CHUNK_EPOCHS}").alias("_e"), F.struct("turn", "slot").alias("x"))
     chunks = turns.groupBy("_k", "_g", "_e").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["slot"]).alias("_at"))
 
-    rows = df.withColumn("_s", src).join(F.broadcast(sources), "_s").withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
     # buckets are ranges of the hash, so bucket order is hash order
-    rows = rows.withColumn("_b", F.least(F.col("_nb") - 1, F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_nb"))).cast("long"))
+    bucket = F.least(F.col("_nb") - 1, F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_nb"))).cast("long")
+    in_order = lambda df: df.withColumn("_s", src).join(F.broadcast(sources), "_s").withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    rows = in_order(df).withColumn("_b", bucket)
+    crowd = CROWD * BUCKET_ROWS
+    if not rows.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).isEmpty():
+        # ids that are null, or the same, in that many rows have one hash: their rows are told apart by their number in a table that stays as it is
+        hot = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("_h", F.lit(True).alias("_hot"))
+        rows = in_order(frozen(df)).withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(frozen(hot)), "_h", "left")
+        rows = rows.withColumn("_h", F.when(F.col("_hot"), F.xxhash64(F.lit(seed), "_h", "_i")).otherwise(F.col("_h"))).drop("_i", "_hot").withColumn("_b", bucket)
     counts = rows.groupBy("_k", "_b", "_ne").agg(F.count(F.lit(1)).alias("_n")).withColumn("_many", F.expr("_b div 1024"))
     before = lambda n, *keys: F.coalesce(F.sum(n).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wide = counts.groupBy("_k", "_many").agg(F.sum("_n").alias("_t"))
