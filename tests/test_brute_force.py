@@ -204,30 +204,6 @@ def auc(y, p, w):
     return won / (sum(a for yi, a in zip(y, w) if yi) * sum(b for yj, b in zip(y, w) if not yj))
 
 
-@pytest.mark.parametrize("stat", ["auroc", "mean"])
-def test_bootstrap_against_plain_replicates(spark, stat):
-    rng = random.Random(6)
-    rows = [(f"g{rng.randrange(9):02}", rng.randint(0, 1), rng.choice([0.1, 0.2, 0.5, 0.7, rng.random()])) for _ in range(60)]
-    d = spark.createDataFrame(rows, "g string, y int, p double")
-    y, p = [r[1] for r in rows], [r[2] for r in rows]
-    value = lambda w: auc(y, p, w) if stat == "auroc" else float(np.dot(w, p) / np.sum(w))
-    names = sorted({r[0] for r in rows})
-    reps = []
-    for i in range(60):
-        draws = np.bincount(np.random.default_rng([3, i]).integers(0, len(names), len(names)), minlength=len(names))
-        reps.append(value([draws[names.index(r[0])] for r in rows]))
-    reps = sorted(x for x in reps if not math.isnan(x))
-    r = metrics.grouped_bootstrap(d, "g", "y", "p", stat, n_boot=60, seed=3).first()
-    assert r.point == pytest.approx(value([1] * len(rows)))
-    assert (r.lo, r.hi) == (pytest.approx(reps[int(0.025 * 60)]), pytest.approx(reps[min(59, int(0.975 * 60))]))
-    # beyond the limit of the broadcast, replicates have Poisson weights
-    w = [sum(hash01("3", f"{i}:{r[0]}") < c for c in metrics.POISSON) for i in range(60) for r in rows]
-    reps = [value(w[i * len(rows) : (i + 1) * len(rows)]) for i in range(60)]
-    big = metrics.grouped_bootstrap(d, "g", "y", "p", stat, n_boot=60, seed=3, most_rows=0).first()
-    reps = sorted(x for x in reps if not math.isnan(x))
-    assert big.point == pytest.approx(r.point) and (big.lo, big.hi) == (pytest.approx(reps[int(0.025 * len(reps))]), pytest.approx(reps[min(len(reps) - 1, int(0.975 * len(reps)))]))
-
-
 def test_running_sums_and_what_they_give(spark, monkeypatch):
     monkeypatch.setattr(metrics, "RANGES", 7)
     rng = random.Random(8)

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklore.functions.arrays import argmax, expected_level, sigma_hash, total
+from tracklore.functions.arrays import argmax, expected_level, total
+from tracklore.operators.bootstrap import grouped_bootstrap  # noqa: F401
 
 
 def _by(by: list[str] | None) -> list[str]:
@@ -168,66 +168,3 @@ def selective_report(df: DataFrame, y: str, p: str, coverages: tuple[float, ...]
         (F.sum(rate * F.col("k")) / F.max("all")).alias("aurc"), *[(1 - F.min_by(rate, F.when(F.col("n") >= q * F.col("all"), F.col("n")))).alias(f"accuracy_at_{round(q * 100)}") for q in coverages],
         *[F.coalesce(F.max(F.when(rate <= e, F.col("n") / F.col("all"))), F.lit(0.0)).alias(f"coverage_at_{round(e * 100)}") for e in errors],
     )
-
-
-def grouped_bootstrap(df: DataFrame, group: str, y: str, p: str, stat: str = "auroc", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, parts: int = 32, most_rows: int = 200_000) -> DataFrame:
-    """One row: point, lo, hi of `stat` (auroc or mean of p) when whole groups are drawn with replacement.
-
-    A replicate is a weighted statistic over (group, y, p) counts, one row per distinct triple. Up to `most_rows` of them
-    are broadcast, and each replicate draws as many groups as there are. Beyond, rows are dealt to replicates with the
-    Poisson weight that a hash of replicate and group gives, which needs no table on any one machine. Replicates depend
-    only on the seed and their number; those without a value are dropped."""
-    table = df.groupBy(F.col(group).cast("string").alias("g"), F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    reps = _drawn(table, stat, n_boot, seed, parts) if table.count() <= most_rows else _dealt(table, stat, n_boot, seed)
-    vals = F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.col("v"))))  # n_boot numbers
-    r = reps.where("NOT isnan(v)").agg(F.max(F.when(F.col("id") < 0, F.col("v"))).alias("point"), vals.alias("s"))
-    m = F.size("s")
-    pick = lambda q: F.try_element_at(F.col("s"), F.least(m, F.floor(F.lit(q) * m).cast("int") + 1))
-    return r.select("point", pick(alpha / 2).alias("lo"), pick(1 - alpha / 2).alias("hi"))
-
-
-def _drawn(table: DataFrame, stat: str, n_boot: int, seed: int, parts: int) -> DataFrame:
-    """(id, v) of the replicates, and of the rows as they are under id -1."""
-    spark = table.sparkSession
-    t = table.orderBy("g", "p", "y").toPandas()
-    held = spark.sparkContext.broadcast((pd.factorize(t["g"])[0], t["y"].to_numpy(), t["p"].to_numpy(), t["n"].to_numpy()))
-
-    def value(w: np.ndarray, ys: np.ndarray, ps: np.ndarray) -> float:
-        if stat == "mean":
-            return float((w * ps).sum() / w.sum()) if w.sum() else math.nan
-        _, at = np.unique(ps, return_inverse=True)
-        pos, neg = np.bincount(at, w * (ys == 1)), np.bincount(at, w * (ys == 0))
-        if not pos.sum() or not neg.sum():
-            return math.nan
-        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
-
-    def run(batches):
-        g, ys, ps, n = held.value
-        k = int(g.max()) + 1 if len(g) else 0
-        for b in batches:
-            out = []
-            for i in b["id"]:
-                if i < 0 or not k:
-                    w = n.astype(float)
-                else:
-                    draws = np.bincount(np.random.default_rng([seed, int(i)]).integers(0, k, k), minlength=k)
-                    w = (draws[g] * n).astype(float)
-                out.append(value(w, ys, ps))
-            yield pd.DataFrame({"id": b["id"], "v": out})
-
-    return spark.range(-1, n_boot, 1, parts).mapInPandas(run, "id long, v double")
-
-
-#: Chances of a Poisson weight of mean 1 to be above 0, 1, 2, ...
-POISSON = [1 - sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-
-
-def _dealt(table: DataFrame, stat: str, n_boot: int, seed: int) -> DataFrame:
-    u = sigma_hash(str(seed), F.col("id"), F.col("g"))
-    weight = sum((F.when(u < c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    rows = table.withColumn("id", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1)))).withColumn("w", F.when(F.col("id") < 0, 1).otherwise(weight) * F.col("n")).where("w > 0")
-    if stat == "mean":
-        return rows.groupBy("id").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("v"))
-    c = rows.groupBy("id", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    won = F.sum(F.col("pos") * (F.col("upto_neg") - F.col("neg") * F.lit(0.5)))
-    return running(c, ["id"], "p", ["neg"]).groupBy("id").agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("v"))
