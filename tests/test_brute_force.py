@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklore.operators import calibration, candidates, evaluation, features, labels, metrics, scoring, simulate, splits, state, stats
+from tracklore.operators import bootstrap, calibration, candidates, evaluation, features, labels, metrics, scoring, simulate, splits, state, stats
 from tracklore.plans import jobs
 from tracklore.sources import files
 
@@ -231,10 +231,16 @@ def test_lift_interval(spark):
     rows = [(f"t{i}", float(i % 2), 0.5) for i in range(20)]
     p = spark.createDataFrame(rows, "task_id string, model double, random double")
     r = simulate.lift_interval(p, n_boot=80, seed=1).first()
-    lifts = np.array([b - c for _, b, c in rows])
-    names = sorted(x[0] for x in rows)
-    reps = sorted(float(np.mean(lifts[[int(names[k][1:]) for k in np.random.default_rng([1, i]).integers(0, 20, 20)]])) for i in range(80))
+    # the library numbers the groups and draws their weights; plain drawing has the same law, so its bounds are near
+    lifts = dict((f"={t}", b - c) for t, b, c in rows)
+    number = {x.g: x.j for x in bootstrap._numbered(spark.createDataFrame([(g,) for g in lifts], "g string"), 20).collect()}
+    weights = bootstrap.Draws(1, 20, 80).of(np.arange(20))
+    reps = sorted(sum(weights[number[g], i] * x for g, x in lifts.items()) / 20 for i in range(80))
     assert r.point == pytest.approx(0.0) and r.lo == pytest.approx(reps[2]) and r.hi == pytest.approx(reps[78])
+    rng = np.random.default_rng(1)
+    plain = sorted(np.mean(rng.choice(list(lifts.values()), 20)) for _ in range(4000))
+    many = simulate.lift_interval(p, n_boot=4000, seed=2).first()
+    assert many.lo == pytest.approx(plain[100], abs=0.051) and many.hi == pytest.approx(plain[3900], abs=0.051)
 
 
 def test_raw_against_calibrated(spark):
