@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tracklore.llm import exact_dedup, line_dedup, line_quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +74,19 @@ def test_passages_are_cut_whole(spark):
     assert {r.doc_id for r in line_dedup.stage(spark, docs(spark, texts), "").collect()} == set(range(12)) - {7, 8}
 
 
+def test_passages_are_compared_byte_by_byte(spark, monkeypatch):
+    """With a hash that most lines share, the same passages are cut as with one that tells lines apart."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    long, one = [line(11) for _ in range(7)], line(60)
+    texts = ["\n".join([line(5), *(long if i % 2 else [one]), "", *[line(rng.randint(8, 30)) for _ in range(4)]]) for i in range(8)]
+    want = {r.doc_id: (r.text, r.n_cut_passages) for r in line_dedup.passage_dedup(docs(spark, texts)).collect()}
+    assert [want[i][1] for i in range(8)] == [0, 0, 1, 1, 1, 1, 1, 1]
+    for few in (1, 3):
+        monkeypatch.setattr(line_dedup, "line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(few)))  # noqa: B023
+        assert {r.doc_id: (r.text, r.n_cut_passages) for r in line_dedup.passage_dedup(docs(spark, texts)).collect()} == want
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(5)
     for _ in range(300):

@@ -95,7 +95,7 @@ def _units(every: int, words: int) -> Column:
         return F.aggregate(lines, start, more, lambda a: F.when(a["w"] >= words, a["n"]))
 
     def low(i: Column) -> Column:
-        return F.element_at("_l", i)["h"].bitwiseAND(F.lit((1 << 28) - 1))
+        return F.element_at("_l", i)["low"]
 
     ahead = F.transform(places, lambda i: code(i, window(F.slice("_l", i, F.lit(words)))))
     behind = F.transform(places, lambda i: F.transform(F.array(window(F.reverse(F.slice("_l", F.greatest(F.lit(1), i - words + 1), F.least(i, F.lit(words)))))), lambda k: code(i - k + 1, k))[0])
@@ -104,48 +104,85 @@ def _units(every: int, words: int) -> Column:
     return F.filter(F.array_union(F.array_union(ahead, behind), chunks), lambda u: u.isNotNull())
 
 
+def line_hash(line: Column) -> Column:
+    """What lines are compared by until their bytes are."""
+    return F.xxhash64(line)
+
+
+def _merged(units: Column) -> Column:
+    """Sorted units as runs of lines: those that overlap or touch are one."""
+
+    def merge(a: Column, u: Column) -> Column:
+        last = F.element_at(a, -1)
+        longer = F.shiftright(last, 31) * PLACE + F.greatest(last % PLACE, u % PLACE)
+        joins = (F.size(a) > 0) & (F.shiftright(u, 31) <= F.try_element_at(a, F.lit(-1)) % PLACE + 1)
+        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(u)))
+
+    return F.aggregate(units, F.array().cast("array<bigint>"), merge)
+
+
+def _places(runs: str) -> Column:
+    """The places of the lines of runs."""
+    return F.flatten(F.transform(runs, lambda u: F.sequence(F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int"))))
+
+
+def _part(lines: str, u: Column) -> Column:
+    """The unit's part of an array that has null for lines without a word."""
+    lo, hi = F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int")
+    return F.filter(F.slice(lines, lo + 1, hi - lo + 1), lambda x: x.isNotNull())
+
+
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, words: int = PASSAGE_WORDS) -> DataFrame:
     """`df` with repeated passages cut out of `<text_col>`, plus n_cut_passages (int), the runs of lines cut.
 
     Lines without a word are left out of the comparison and go with the lines around them. Besides chunks of two lines or
     more, every run of whole lines with `words` words or more that stood before, by (id, place), is cut from its first to
     its last line, wherever chunk boundaries fall: the least windows of `words` words that begin or end with each line
-    cover it. A line goes only if an equal one stood before, so the first copy of each stays. Units are the same if two
-    64-bit hashes made of two hashes of each line agree. Nulls, repeated rows and other columns as in line_dedup.
+    cover it. A line goes only if an equal one stood before, so the first copy of each stays.
+
+    Units are compared by the hashes of all their lines, and the bytes of all lines of units that seem to repeat are compared
+    too: grouped by hash and text, each once. Where two texts have one hash, units with that hash are compared by their
+    texts instead. Nulls, repeated rows and other columns as in line_dedup.
     """
     df, back = set_aside(df.drop("n_cut_passages"), (), (id_col, text_col))
     key = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x")))
-    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")).alias("w"))
+    low = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 28) - 1))
+    line = lambda x, i: F.struct(i.alias("i"), line_hash(x).alias("h"), low(x).alias("low"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")).alias("w"))
     rows = df.select(key.alias("_key"), F.split(text_col, "\n", -1).alias("_s")).where("_key IS NOT NULL")
     docs = frozen(rows.select("_key", F.filter(F.transform("_s", line), lambda x: x["w"] > 0).alias("_l"))).where(F.size("_l") > 0)
 
     def unit(u: Column) -> Column:
         lo, n = F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int")
         at = lambda i: F.element_at("_l", i)["i"].cast("long")
-        return F.struct(
-            (at(lo) * PLACE + at(lo + n - 1)).alias("u"), F.xxhash64(F.transform(F.slice("_l", lo, n), lambda x: x["h"])).alias("a"), F.xxhash64(F.transform(F.slice("_l", lo, n), lambda x: x["g"])).alias("b")
-        )
+        return F.struct((at(lo) * PLACE + at(lo + n - 1)).alias("u"), F.xxhash64(F.transform(F.slice("_l", lo, n), lambda x: x["h"])).alias("a"))
 
     places = frozen(docs.select("_key", F.transform(_units(every, words), unit).alias("us"))).select("_key", F.explode("us").alias("_u")).select("_key", "_u.*")
     hot = hot_keys(places, "a")
     twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    chosen = frozen(hot_join(places, twice, "a", hot, F.xxhash64("_key")))
+    listed = hot_join(places, twice, "a", hot, F.xxhash64("_key")).groupBy("_key").agg(F.sort_array(F.collect_set("u")).alias("us"))
+
+    # texts with such units, their lines' hashes, and the hashes that are not those of one line only
+    hashes = F.transform("_s", lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), line_hash(x)))
+    held = frozen(rows.join(listed, "_key").select("_key", "us", "_s", hashes.alias("_h"), _merged(F.col("us")).alias("_runs")))
+    lines = held.select(F.explode(F.transform(_places("_runs"), lambda i: F.struct(F.get("_h", i).alias("h"), F.get("_s", i).alias("c")))).alias("l")).select("l.*").where("h IS NOT NULL")
+    shared = frozen(lines.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    chosen = held.select("_key", "_s", F.explode(F.transform("us", lambda u: F.struct(u.alias("u"), _part("_h", u).alias("hs")))).alias("_u")).select("_key", "_s", "_u.*")
+    if shared.isEmpty():
+        chosen = chosen.withColumn("t", F.lit(None).cast("string"))
+    else:
+        doubtful = chosen.select("_key", "u", F.explode("hs").alias("h")).join(shared, "h", "left_semi").select("_key", "u").distinct().withColumn("doubt", F.lit(True))
+        filled = F.filter(F.slice("_s", F.shiftright("u", 31).cast("int") + 1, (F.col("u") % PLACE - F.shiftright("u", 31) + 1).cast("int")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        chosen = chosen.join(doubtful, ["_key", "u"], "left").withColumn("t", F.when(F.col("doubt"), F.array_join(filled, "\n")))
+    chosen = chosen.select("_key", "u", F.xxhash64("hs").alias("a"), "hs", "t")
     at = F.struct("_key", "u")
-    first = chosen.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("a", F.col("b").alias("same"), "first")
-    later = hot_join(chosen, first, "a", hot, F.xxhash64("_key"), F.col("b") == F.col("same")).where(at != F.col("first"))
-
-    def merge(a: Column, u: Column) -> Column:
-        last = F.element_at(a, -1)
-        longer = F.shiftright(last, 31) * PLACE + F.greatest(last % PLACE, u % PLACE)
-        joins = (F.size(a) > 0) & (F.shiftright(u, 31) <= F.try_element_at(a, F.lit(-1)) % PLACE + 1)
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(u)))
+    first = chosen.groupBy("a", "hs", "t").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("a", F.col("hs").alias("same"), F.col("t").alias("_same"), "first")
+    later = hot_join(chosen, first, "a", hot, F.xxhash64("_key"), (F.col("hs") == F.col("same")) & F.col("t").eqNullSafe(F.col("_same"))).where(at != F.col("first"))
 
     units = later.groupBy("_key").agg(F.sort_array(F.collect_set("u")).alias("us"))
-    cut = frozen(units.select("_key", F.aggregate("us", F.array().cast("array<bigint>"), merge).alias("_cut")))
+    cut = frozen(units.select("_key", _merged(F.col("us")).alias("_cut")))
     out = df.withColumn("_key", key).join(cut, "_key", "left")
     todo = F.split(F.when(F.col("_cut").isNotNull(), F.col(text_col)), "\n", -1)
-    gone = F.flatten(F.transform("_cut", lambda u: F.sequence(F.shiftright(u, 31).cast("int"), (u % PLACE).cast("int"))))
-    left = let(todo, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.element_at(x, i + 1)))
+    left = let(todo, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), _places("_cut")), lambda i: F.element_at(x, i + 1)))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return back(out.select(*[text.alias(c) if c == text_col else c for c in df.columns], F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("n_cut_passages")))
 
