@@ -193,6 +193,42 @@ def test_stage_search_for_very_many_rows(spark, monkeypatch):
     assert len(near) > 20 and kept["few"] == want and kept["many"] == want
 
 
+@pytest.mark.parametrize("block", [4096, 6])
+def test_stage_links_the_same_rows_at_every_size(spark, block, monkeypatch):
+    rng = random.Random(33)
+    texts = []
+    for most in (5, 9, 14, 20):  # similarities from 0.9 to 0.4, where a search finds some pairs only
+        for _ in range(12):
+            t = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            texts.append(" ".join(t))
+            for k in rng.sample(range(200), most):
+                t[k] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    for _ in range(40):  # a dense group
+        t = texts[0].split()
+        for k in rng.sample(range(200), 3):
+            t[k] = "x"
+        texts.append(" ".join(t))
+    texts += ["", None, texts[3]]
+    near = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a: near(*a, block=block))
+    sizes = (10, 1 << 18, 1 << 22, (1 << 22) + 1, 1 << 30) if block > 6 else (10, (1 << 22) + 1, 1 << 30)
+    got = [{r.doc_id: tuple(r) for r in simhash.simhash_groups(docs(spark, texts), **simhash.stage_search(n)).collect()} for n in sizes]
+    assert all(g == got[0] for g in got)
+
+    words = len(got[0][0][1]) // 16
+    fp = np.array([simhash.fingerprint(t, 5, words) for t in texts])
+    x = fp[:, None] ^ fp[None]
+    some = np.zeros(x.shape[:2], bool)
+    for lo, hi in ((0, 21), (21, 42), (42, 64)):
+        some |= (np.bitwise_count(x & np.uint64((1 << hi) - (1 << lo))) <= 1).any(axis=2)
+    within = np.bitwise_count(x).sum(axis=2, dtype=int) <= 64 * words * 7 // 32
+    a, b = np.nonzero(within & some)
+    want = simhash._unite(np.arange(len(texts)), a, b)
+    assert [got[0][i][2] for i in range(len(texts))] == want.tolist()
+    assert (within & ~some).any() and len(set(want.tolist())) > 20
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]

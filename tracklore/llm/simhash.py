@@ -3,7 +3,9 @@
 A fingerprint is cut into segments. If two fingerprints differ in at most `max_bits` bits, some segment differs in at
 most `max_bits // segments` bits, so looking up a small Hamming ball around each segment value in a table keyed by
 (segment, value) finds every such pair; complete distances are then verified. Of a ball of radius 1 only the value itself
-and the values with one more bit set are looked up: the pair is found from its other side otherwise.
+and the values with one more bit set are looked up: the pair is found from its other side otherwise. Smaller tables need
+no balls: of a segment cut into pieces, two values that differ in one bit agree in all pieces but one, so rows meet under the
+segment less each of its pieces. Both find the same pairs, with fewer rows to shuffle or fewer to compare.
 
 Texts leave Python as one number each. Equal fingerprints are one node. Lookups and table rows meet in sorted runs, and a
 task emits a spanning forest of its verified links, never all pairs. Within a run rows are held against a few leaders
@@ -19,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -113,9 +117,18 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LEADERS = 4
 
 
-def _links(fp: np.ndarray, node: np.ndarray, held: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of a run that differ in at most max_bits bits, as pairs of nodes. The first `held` rows
-    are table rows; each row is held against each of them, but for pairs that leaders have united."""
+def _close(x: np.ndarray, masks: list[tuple[int, int]]) -> np.ndarray:
+    """Whether a difference of fingerprints, a row of x, has one bit at most in some segment; masks: (word, bits) of each."""
+    out = np.zeros(len(x), bool)
+    for w, m in masks:
+        out |= np.bitwise_count(x[:, w] & np.uint64(m)) <= 1
+    return out
+
+
+def _links(fp: np.ndarray, node: np.ndarray, held: int, max_bits: int, masks: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a run that differ in at most max_bits bits, as pairs of nodes; with `masks`, of
+    those that also differ in one bit at most in some segment. The first `held` rows are table rows; each row is held
+    against each of them, but for pairs that leaders have united."""
     nodes, at = np.unique(node, return_inverse=True)
     lab = np.arange(len(nodes))
 
@@ -126,6 +139,9 @@ def _links(fp: np.ndarray, node: np.ndarray, held: int, max_bits: int) -> tuple[
             part = rows[k : k + step]
             far = sum(np.bitwise_count(fp[part, None, w] ^ fp[None, table, w]).astype(np.int16) for w in range(fp.shape[1]))
             q, t = np.nonzero(far <= max_bits)
+            if masks:
+                ok = _close(fp[part[q]] ^ fp[table[t]], masks)
+                q, t = q[ok], t[ok]
             lab = _unite(lab, at[part[q]], at[table[t]])
 
     every, table = np.arange(len(fp)), np.arange(held)
@@ -156,39 +172,59 @@ def _segment_keys(word: str, lo: int, hi: int, tag: int) -> tuple[Column, Column
     return value.bitwiseOR(F.lit(tag)), F.transform(clear, lambda m: value.bitwiseOR(m).bitwiseOR(F.lit(tag)))
 
 
+def _piece_keys(word: str, lo: int, hi: int, pieces: int, tag: int) -> list[Column]:
+    """Keys of bits [lo, hi) of a word less each of `pieces` pieces of them."""
+    cuts = [lo + (hi - lo) * i // pieces for i in range(pieces + 1)]
+    rest = [((1 << hi) - (1 << lo)) & ~((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
+    return [F.shiftrightunsigned(F.col(word).bitwiseAND(F.lit(_signed(m))), lo).bitwiseOR(F.lit(tag | j << 32)) for j, m in enumerate(rest)]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
 #: Above so many hot keys they are joined by a shuffle instead of a broadcast.
 BROADCAST_KEYS = 100_000
 
 
-def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block: int = 4096) -> DataFrame:
-    """Edges (u, v) between the nodes of fingerprints; the links within max_bits that the search finds are their closure.
-    `segments` per word. Complete for max_bits < 2 * segments * words; pairs further apart are found if some segment
-    differs in one bit at most, so those need a measured recall. fps: distinct w0, w1, ... and the node of each."""
+def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, pieces: int = 0, block: int = 4096) -> DataFrame:
+    """Edges (u, v) between the nodes of fingerprints. Their closure is that of the pairs within max_bits bits that differ in
+    one bit at most in some segment, `segments` per word: of all pairs within max_bits if max_bits < 2 * segments * words;
+    else pairs further apart need a measured recall. fps: distinct w0, w1, ... and the node of each.
+
+    `pieces` says how they meet, and changes no link: by balls (0), with some dozen rows a segment and cells as long as
+    segments, or under the segment less each of so many pieces, with that many rows and shorter cells."""
     cuts = _cuts(segments)
     names = [f"w{i}" for i in range(words)]
+    masks = [(w, (1 << hi) - (1 << lo)) for w in range(words) for lo, hi in zip(cuts, cuts[1:])] if pieces and max_bits >= 2 * segments * words else None
     table_keys, ball_keys = [], []
     for w in range(words):
         for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-            key, ball = _segment_keys(names[w], lo, hi, (w * segments + i) << 40)
-            table_keys.append(key)
-            ball_keys.append(ball)
+            tag = (w * segments + i) << 40
+            if pieces:
+                table_keys += _piece_keys(names[w], lo, hi, pieces, tag)
+            else:
+                key, ball = _segment_keys(names[w], lo, hi, tag)
+                table_keys.append(key)
+                ball_keys.append(ball)
     cols = [*names, "node"]
-    held = fps.select(F.explode(F.array(*table_keys)).alias("key"), F.lit(0).alias("side"), *cols)
-    asked = fps.select(F.explode(F.concat(*ball_keys)).alias("key"), F.lit(1).alias("side"), *cols)
-    rows = held.unionByName(asked)
-
-    # what a key holds, and what its neighbours with one bit less ask of it
+    rows = held = fps.select(F.explode(F.array(*table_keys)).alias("key"), F.lit(0).alias("side"), *cols)
     t = held.groupBy("key").agg(F.count(F.lit(1)).alias("t"))
-    widths = F.array(*[F.lit(hi - lo) for lo, hi in zip(cuts, cuts[1:])])
-    width = F.element_at(widths, (F.shiftright("key", 40) % segments + 1).cast("int"))
-    above = F.filter(F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.expr("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))), lambda k: k != F.col("key"))
-    t = frozen(t)
-    q = t.where(F.col("t") > block // 64).select(F.explode(above).alias("key"), F.col("t").alias("q")).groupBy("key").agg(F.sum("q").alias("q"))  # others never ask too much
-    hot = frozen(t.join(q, "key", "left").where(f"t > {block} OR q > {4 * block}").select("key"))
+    if pieces:
+        hot = frozen(t.where(f"t > {block}").select("key"))
+    else:
+        rows = held.unionByName(fps.select(F.explode(F.concat(*ball_keys)).alias("key"), F.lit(1).alias("side"), *cols))
+        # what a key holds, and what its neighbours with one bit less ask of it
+        widths = F.array(*[F.lit(hi - lo) for lo, hi in zip(cuts, cuts[1:])])
+        width = F.element_at(widths, (F.shiftright("key", 40) % segments + 1).cast("int"))
+        above = F.filter(F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.expr("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))), lambda k: k != F.col("key"))
+        t = frozen(t)
+        q = t.where(F.col("t") > block // 64).select(F.explode(above).alias("key"), F.col("t").alias("q")).groupBy("key").agg(F.sum("q").alias("q"))  # others never ask too much
+        hot = frozen(t.join(q, "key", "left").where(f"t > {block} OR q > {4 * block}").select("key"))
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        rows, links = _deal(rows.join(hot, "key"), rows.join(hot, "key", "left_anti"), names, max_bits, block, n_hot)
+        rows, links = _deal(rows.join(hot, "key"), rows.join(hot, "key", "left_anti"), names, max_bits, masks, block, n_hot)
     else:
         rows, links = rows.withColumn("part", F.lit(0).cast("long")), None
 
@@ -213,14 +249,17 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
                 run = np.repeat(np.arange(len(e)), k)
                 off = np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
                 a, b = e[run] + off % tt[run], e[run] + off // tt[run]
-                open_ = node[a] != node[b]
+                open_ = (node[a] != node[b]) & (a < b)  # table rows come first in their run
                 a, b = a[open_], b[open_]
-                ok = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int16) <= max_bits
+                x = fp[a] ^ fp[b]
+                ok = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int16) <= max_bits)
+                if masks:
+                    ok = ok[_close(x[ok], masks)]
                 us.append(node[a[ok]])
                 vs.append(node[b[ok]])
-                n += int(ok.sum())
+                n += len(ok)
             for i in np.flatnonzero(alive & ~small):
-                u, v = _links(fp[edge[i] : stop[i]], node[edge[i] : stop[i]], int(t[i]), max_bits)
+                u, v = _links(fp[edge[i] : stop[i]], node[edge[i] : stop[i]], int(t[i]), max_bits, masks)
                 us.append(u)
                 vs.append(v)
                 n += len(u)
@@ -252,7 +291,7 @@ def near_links(fps: DataFrame, words: int, max_bits: int, segments: int, block:
     return found if links is None else found.unionByName(links)
 
 
-def _deal(hot: DataFrame, rest: DataFrame, names: list[str], max_bits: int, block: int, n_keys: int) -> tuple[DataFrame, DataFrame]:
+def _deal(hot: DataFrame, rest: DataFrame, names: list[str], max_bits: int, masks: list[tuple[int, int]] | None, block: int, n_keys: int) -> tuple[DataFrame, DataFrame]:
     """(rows with part, links) of the rows of hot keys, and part 0 for the rest.
 
     One table row of each hot key leads it. Rows near it are linked to it and go on as its node; they are held against far
@@ -263,7 +302,10 @@ def _deal(hot: DataFrame, rest: DataFrame, names: list[str], max_bits: int, bloc
     else:
         hot = salted_join(hot, leader, ["key"], F.xxhash64("node"))
     far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"lead.{n}"))) for n in names), F.lit(0))
-    hot = hot.withColumn("near", far <= max_bits)
+    near = far <= max_bits
+    if masks:
+        near = near & reduce(or_, [F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"lead.w{w}")).bitwiseAND(F.lit(_signed(m)))) <= 1 for w, m in masks])
+    hot = hot.withColumn("near", near)
     links = hot.where("near AND node <> lead.node").select(F.col("node").alias("u"), F.col("lead.node").alias("v"))
     cols = [*names, F.when(F.col("near"), F.col("lead.node")).otherwise(F.col("node")).alias("node")]
     held = hot.where("side = 0").select("key", F.when(F.col("near"), 2).otherwise(1).alias("sub"), "side", *cols, F.col("node").alias("own"))
@@ -301,8 +343,8 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, max_bits: int = 4, segments: int = 3) -> DataFrame:
-    """One row per input row: `<id_col>`, fingerprint, component_id.
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, max_bits: int = 4, segments: int = 3, pieces: int = 0) -> DataFrame:
+    """One row per input row: `<id_col>`, fingerprint, component_id. `pieces` changes no result (see near_links).
 
     Null and wordless texts have fingerprint zero and link like any other. component_id is the smallest id of the
     component; rows with a null id take part, and get null only if no row of their component has an id. Repeated rows
@@ -316,7 +358,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"w{i}" for i in range(words)]
     rows = frozen(fingerprints(df, id_col, text_col, shingle, words))
     least = frozen(rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("rid").alias("node")))
-    member = components(near_links(least.select(*names, "node"), words, max_bits, segments)).withColumnRenamed("node", "_n")
+    member = components(near_links(least.select(*names, "node"), words, max_bits, segments, pieces)).withColumnRenamed("node", "_n")
     least = frozen(least.join(member, F.col("node") == F.col("_n"), "left").withColumn("node", F.coalesce("root", "node")).select(*names, "least", "node"))
     root = least.withColumnRenamed("node", "root")
     best = root.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -330,13 +372,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+#: How many pieces the stage's segments are cut into, and up to how many rows: a cell has 64 rows of random bits then.
+PIECES = [(2, 1 << 16), (3, 1 << 20), (4, 1 << 22), (7, 1 << 24)]
+
+
 def stage_search(rows: int) -> dict[str, int]:
-    """The stage's search for candidates. A Jaccard similarity of 0.8 on five-word shingles is 0.15 of the bits, well within
-    7 of 32. Segments get longer with the number of rows, and as many words are taken as give a pair at 0.15 a chance of
-    0.97 that some segment differs in one bit at most; README has the measured recall."""
-    if rows <= 1 << 22:
-        return {"shingle": 5, "words": 3, "max_bits": 42, "segments": 4}
-    return {"shingle": 5, "words": 7, "max_bits": 98, "segments": 3}
+    """The stage's search for candidates, the same links for any number of rows: that only says how they are found, so that
+    cells do not fill. A Jaccard similarity of 0.8 on five-word shingles is 0.15 of the bits, well within 7 of 32; eight words
+    of three segments give a pair at 0.15 a chance of 0.98 that some segment differs in one bit at most; README has the
+    measured recall."""
+    pieces = next((p for p, most in PIECES if rows <= most), 0)
+    return {"shingle": 5, "words": 8, "max_bits": 112, "segments": 3, "pieces": pieces}
 
 
 SIMILAR = 0.8
